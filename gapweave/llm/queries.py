@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontamination, mixing, quality_rules, sharding, simhash, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,48 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id", "class_size")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's 5-word shingles."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=5, containment=0.8)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve shards laid out by source become sixteen of nearly equal bytes."""
+    docs = _table(spark, sf_dir, "documents")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), sharding.layout_by("source", 12).alias("old_shard"))
+    done = sharding.reshard(rows, 16, ["doc_id", "text_crc32"])
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and the verdict with the host's (source's) failure rate."""
+    found = quality_rules.judged(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 5, 2, 1, repeating; targets share 150 % of all words, none above twice its source."""
+    found = mixing.mixed_documents(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2, seed=42)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, else the host's reputation."""
+    found = url_reputation.judged_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_sharding": op4_sharding,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_url_reputation": op10_url_reputation,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": quality_rules.ORACLE,
+    "op10_url_reputation": url_reputation.ORACLE,
+}
