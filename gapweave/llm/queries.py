@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash, url_reputation
+from . import decontamination, mixing, quality_rules, sharding, simhash, token_attribution, token_files, toxicity, url_reputation
+from .scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document."""
+    import public_tokenizers
+
+    return token_attribution.section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, written, indexed, looked up and read back."""
+    import public_tokenizers
+
+    docs, folder = _table(spark, sf_dir, "documents"), new_path(spark, "tokens")
+    made = token_files.write_tokens(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+    keys = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count()
+    keys = keys.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("occurrence"))
+    found = token_files.read_back(token_files.look_up(keys, folder), folder)
+    return found.join(token_files.shard_starts(made), "shard").select(
+        "doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("count").alias("n_tokens"), "ids_crc32", "shard"
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating; targets share 150 % of all words, none above twice its source."""
     found = mixing.mixed_documents(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2, seed=42)
@@ -57,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_attribution": op6_token_attribution,
+    "op7_token_files": op7_token_files,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_url_reputation": op10_url_reputation,
 }
 
