@@ -38,7 +38,7 @@ HEAD = 16
 RECORD = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("count", "<u8")])
 KEYS_A_SEGMENT, KEYS_A_BUCKET = 20_000, 4
 #: words whose ids a worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -46,8 +46,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 def encoder(path: str, item: int):
     """A function from texts to their ids as bytes of items; words are remembered.
 
-    The vocabulary must drop white space (word-end BPE), so that the words of a text,
-    parted at ASCII white space, can be encoded one by one.
+    The vocabulary must drop white space (word-end BPE) and lower-case, so that the words
+    of a text, parted at ASCII white space and lower-cased A-Z, can be encoded one by one.
     """
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,20 +58,19 @@ def encoder(path: str, item: int):
     kind = f"<u{item}"
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
-        for t in texts:
-            words = t.split()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            extra = {}
-            if new:
-                found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                extra = {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, found)}
-                if len(known) < REMEMBERED:
-                    known.update(extra)
-                    extra = {}
-            if extra:
-                yield b"".join([known[w] if w in known else extra[w] for w in words])
-            else:
-                yield b"".join(map(known.__getitem__, words))
+        # the tokenizer lower-cases; only the strings of special tokens are looked for before that
+        parted = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        new: set[bytes] = set()
+        for words in parted:
+            new.update(words)
+        new = [w for w in new if w not in known]
+        if new:
+            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+                known[w] = np.array(e.ids, kind).tobytes()
+        for words in parted:
+            yield b"".join(map(known.__getitem__, words))
 
     return encode
 
@@ -102,13 +101,19 @@ def build_segment(hashes: np.ndarray, records: np.ndarray) -> bytes:
         if size[b] < 2:
             break
         own = order[cut[b] : cut[b + 1]]
-        h, d = hashes[own, 1], 0
-        while True:
-            s = _slots(h, d, n)
-            if free[s].all() and len(set(s.tolist())) == len(s):
+        h, d, many = hashes[own, 1], 0, 16
+        while True:  # many displacements at once, the first that fits
+            s = _slots(h[None, :], np.arange(d, d + many)[:, None], n)
+            fits = free[s].all(axis=1)
+            if fits.any():
+                ranked = np.sort(s[fits], axis=1)
+                fits[fits] = (ranked[:, 1:] != ranked[:, :-1]).all(axis=1)
+            if fits.any():
+                k = int(np.argmax(fits))
+                d, s = d + k, s[k]
                 break
-            d += 1
-            if d > 1 << 24:
+            d, many = d + many, min(4096, many * 4)
+            if d > 1 << 26:
                 raise ValueError("two keys have equal hashes")
         table[b], free[s], place[own] = d, False, s
     left = iter(np.flatnonzero(free).tolist())
