@@ -86,7 +86,7 @@ def fitted(lengths: list[int], counts: list[int], target: float, most: int = 2)
     return whole, extra
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 42, source: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 42, source: str = "source", text: str = "text", keys: tuple[str, ...] = ("doc_id",), hashed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, source, size, source_size, target (double), times (int), taken (long: size * times) of every row.
 
     A null text has size 0, a null source is a source of its own, last in order. Rows of
@@ -111,7 +111,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     plan = written(aimed.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, whole int, extra long"), "plan")
     named = plan.withColumnsRenamed({"source": "of_source", "size": "of_size"})
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))).drop("of_source", "of_size")
-    h = F.xxhash64(*keys, F.lit(seed))
+    h = F.xxhash64(*hashed, F.lit(seed))
     salt = F.when(F.col("n") > HOT, F.shiftrightunsigned(h, 56)).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumns({"h": h, "salt": salt})
     group = ["source", "size", "salt"]

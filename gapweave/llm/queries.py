@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash, token_attribution, token_files, toxicity, url_reputation
+from . import decontamination, mixing, quality_rules, sharding, simhash, suffix_dedup, token_attribution, token_files, toxicity, url_reputation
 from .scratch import new_path
 
 
@@ -26,6 +26,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=5, containment=0.8)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the 400-byte strings that begin elsewhere too."""
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve shards laid out by source become sixteen of nearly equal bytes."""
     docs = _table(spark, sf_dir, "documents")
@@ -83,6 +89,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_attribution": op6_token_attribution,

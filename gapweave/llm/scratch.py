@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -52,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, struct of all columns; id, a long of its own for each row), written, so that ids stay."""
+    return written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), name)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files of a written() table that nothing reads any more."""
     path = getattr(df, "_gapweave_path", None)

@@ -130,26 +130,39 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, most_bit
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, seeds: Sequence[int] = (42, 43, 44), most_bits: int = 7, mean_bits: float = 10.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, rows, component, keeper: near-duplicate classes at a shingle similarity of about 0.8 or more.
-
-    A similarity J of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi
-    differing bits in the mean (9.7 at J = 0.8). Several fingerprints are indexed, each
-    at most_bits; a candidate is a link if all of them together differ by mean_bits a
-    fingerprint or fewer. keeper is true for one doc_id of each class, the smallest.
-    Rows without a word are no duplicates of one another: they are classes of their own.
+    """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of about 0.8 or more.
+
+    th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
+    of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits in
+    the mean (9.7 at J = 0.8). Several fingerprints are indexed, each at most_bits; a
+    candidate is a link if all of them together differ by mean_bits a fingerprint or fewer.
+    keeper is true for one (doc_id, th) of each class, the smallest, a null before all.
+    Texts without a word are one another's copies.
     """
     cols = [f"fp{i}" for i in range(len(seeds))]
-    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, seeds)
-    prints = written(prints.filter("doc_id is not null").withColumn("node", F.xxhash64(*cols)), "prints")
-    blank = " and ".join(f"{c} = 0" for c in cols)
-    nodes = written(prints.filter(f"not ({blank})").groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "nodes")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    prints = fingerprints(docs.withColumn("th", F.xxhash64("text")), words, seeds, keep=("doc_id", "th"))
+    prints = written(prints.groupBy("doc_id", "th", *cols).agg(F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
+    nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "nodes")
     near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {int(mean_bits * len(cols))}"
     found = None
     for c in cols:
         one = links(nodes, most_bits, c, near)
         found = one if found is None else found.unionByName(one)
-    parts = written(connected_components(found), "parts")
-    named = prints.join(parts, "node", "left").withColumn("component", F.coalesce("component", F.when(F.expr(blank), F.xxhash64("doc_id", F.lit("blank"))), "node"))
-    named = written(named.groupBy("component", "doc_id").agg(F.count("*").alias("rows")), "classes")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component").select("doc_id", "rows", "component", (F.col("doc_id") == F.col("least")).alias("keeper"))
+    parts = connected_components(found)
+    named = nodes.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(prints.select("doc_id", "th", "rows", "node").join(named, "node").drop("node"), "classes")
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate class; how: as near_duplicates."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    classes = written(near_duplicates(docs, doc_id=doc_id, text=text, **how), "near")
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
+    kept = rows.join(classes.filter("not keeper").select("doc_id", "th"), same, "left_anti")
+    again = classes.filter("keeper and rows > 1").select("doc_id", "th")
+    if again.limit(1).count():  # repeated rows of one document: any one of them
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["i", "t"]))
+    return kept.select("row.*")
