@@ -6,6 +6,7 @@ The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("id")), name)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more, before its own next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the files of a written() table that nothing reads any more."""
     path = getattr(df, "_gapweave_path", None)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import tune, written
+from .scratch import release, tune, written
 from .textcore import blobs
 
 BITS = 64
@@ -88,11 +88,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, most_bits: int, column: str = "fp0", also: str = "true") -> DataFrame:
+def links(distinct: DataFrame, most_bits: int, column: str = "fp0") -> DataFrame:
     """(u, v) for each two rows of distinct (node, column) whose fingerprints differ by most_bits or fewer.
 
-    also: one more SQL condition on the two sides a and b; further columns of
-    distinct are carried for it. Nodes with equal fingerprints are linked as well.
+    Nodes with equal fingerprints are linked as well. The variants are written first, so
+    that both sides of the join read one exchange.
     """
     segs = segments(most_bits)
     variants = []
@@ -101,7 +101,7 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0", also: str =
             mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
             part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
             variants.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
-    rows = distinct.select("*", F.explode(F.array(*variants)).alias("key"))
+    rows = written(distinct.select(*dict.fromkeys(["node", column]), F.explode(F.array(*variants)).alias("key")), "variants")
     x = f"(a.{column} ^ b.{column})"
     first = []
     for i, (lo, hi) in enumerate(segs):
@@ -109,7 +109,7 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0", also: str =
         unlike = " and ".join([f"bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in segs[:i]] or ["true"])
         p = "cast(a.key & 63 as int)"
         first.append(f"({p} >= {lo} and {p} < {hi} and {unlike} and ((shiftright({x}, {p}) & 1) = 1 or ({p} = {lo} and ({x} & {mask}L) = 0)))")
-    on = f"a.key = b.key and a.node < b.node and bit_count({x}) <= {int(most_bits)} and ({' or '.join(first)}) and {also}"
+    on = f"a.key = b.key and a.node < b.node and bit_count({x}) <= {int(most_bits)} and ({' or '.join(first)})"
     return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
@@ -121,8 +121,8 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, most_bit
     never chosen as component_id unless the component has no other.
     """
     prints = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, (seed,)), "prints")
-    nodes = written(prints.groupBy(F.col("fp0").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("fp0", F.col("node")), "nodes")
-    parts = connected_components(links(nodes.select("node", "fp0"), most_bits))
+    nodes = written(prints.groupBy(F.col("fp0").alias("node")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    parts = connected_components(links(nodes, most_bits, "node"))
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("class_size"))
     found = written(named.select("node", "component").join(ids, "component").select(F.col("node").alias("fp0"), "component_id", "class_size"), "named")
@@ -147,9 +147,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, seeds: Sequence[int] = (42,
     near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {int(mean_bits * len(cols))}"
     found = None
     for c in cols:
-        one = links(nodes, most_bits, c, near)
+        one = written(links(nodes, most_bits, c), "links")
         found = one if found is None else found.unionByName(one)
-    parts = connected_components(found)
+        release(docs.sparkSession)
+    a, b = nodes.alias("a").withColumnRenamed("node", "u"), nodes.alias("b").withColumnRenamed("node", "v")
+    parts = connected_components(found.distinct().join(a, "u").join(b, "v").filter(near).select("u", "v"))
     named = nodes.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(prints.select("doc_id", "th", "rows", "node").join(named, "node").drop("node"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))

@@ -132,19 +132,36 @@ def common_prefix_groups(data: np.ndarray, length: int) -> tuple[np.ndarray, np.
     lf = np.empty(n, np.int64)
     lf[by] = np.arange(n)
     same = bwt[by[1:]] == bwt[by[:-1]]
+    # the search starts with the intervals of all strings of q entries
+    q = min(7, length)
+    gram = np.zeros(n, np.uint64)
+    for i in range(q):
+        gram <<= np.uint64(9)
+        if i < n:
+            gram[: n - i] |= data[i:].astype(np.uint64)
+    gram = gram[order]
     before, after = np.full(n, -1), np.full(n, n)
     before[by[1:][same]] = by[:-1][same]
     after[by[:-1][same]] = by[1:][same]
     edge = np.zeros(n + 1, bool)
     edge[[0, n]] = True
-    new = np.flatnonzero(np.concatenate([[False], ~same]))
-    for _ in range(1, length):
+    edge[1:n] = gram[1:] != gram[:-1]
+    new = np.flatnonzero(edge[1:n] & (gram[1:] >> np.uint64(9) == gram[:-1] >> np.uint64(9))) + 1
+    edge[new] = False
+    old, late = np.flatnonzero(edge), np.zeros(0, np.int64)  # all edges, the latest apart
+    for _ in range(q, length):
         if not len(new):
             break
         # the old interval of each new edge, then the parts that the new edges make of it
-        old = np.flatnonzero(edge)
-        home = np.searchsorted(old, new, side="right") - 1
-        lo, hi = old[home], old[home + 1]
+        if len(late) > 20_000:
+            old, late = np.flatnonzero(edge), late[:0]
+        home = np.searchsorted(old, new)
+        lo, hi = old[home - 1], old[home]
+        if len(late):
+            home = np.searchsorted(late, new)
+            lo = np.maximum(lo, np.where(home > 0, late[home - 1], 0))
+            hi = np.minimum(hi, np.where(home < len(late), late[np.minimum(home, len(late) - 1)], n))
+        home = lo
         first = np.flatnonzero(np.diff(home, prepend=-1))
         part_lo = np.concatenate([lo[first], new])
         part_hi_own = np.append(new[1:], 0)
@@ -158,12 +175,14 @@ def common_prefix_groups(data: np.ndarray, length: int) -> tuple[np.ndarray, np.
         keep = np.ones(len(size), bool)
         keep[largest] = False
         edge[new] = True
+        late = np.sort(np.concatenate([late, new]))
         rank, of = _spread(part_lo[keep], part_hi[keep])
         p_lo, p_hi, w_lo, w_hi = part_lo[keep][of], part_hi[keep][of], whole_lo[keep][of], whole_hi[keep][of]
         b, a = before[rank], after[rank]
         hits = [lf[rank[(b >= w_lo) & (b < p_lo)]], lf[a[(a < w_hi) & (a >= p_hi)]]]
-        new = np.unique(np.concatenate(hits))
-        new = new[~edge[new]]
+        new = np.concatenate(hits)
+        new = np.sort(new[~edge[new]])
+        new = new[np.flatnonzero(np.diff(new, prepend=-1))]
     edge[new] = True
     return order, np.cumsum(edge[:n])
 
@@ -280,9 +299,10 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, most_region
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = written(_anchored(docs, length, k), "stretches")
     found = rows.select("doc_id", "th", F.explode("runs").alias("x")).select("doc_id", "th", "x.*")
-    distinct = found.groupBy("h", "r").agg(F.count("*").alias("w"), F.min("n").alias("n"), F.min(F.struct("doc_id", "th", "s0")).alias("at"))
+    # any one place of a stretch stands for all; first() of a row's columns keeps them together
+    distinct = found.groupBy("h", "r").agg(F.count("*").alias("w"), F.first("n").alias("n"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("s0").alias("s0"))
     anchors = distinct.groupBy("h").agg(F.sum("w").alias("total"), F.count("*").alias("m")).filter("total >= 2")
-    heavy = written(distinct.join(anchors, "h").select("h", "r", "w", "n", "m", "at.*"), "heavy")
+    heavy = written(distinct.join(anchors, "h").select("h", "r", "w", "n", "m", "doc_id", "th", "s0"), "heavy")
 
     def needed(ids: DataFrame) -> DataFrame:
         """docs, at least those of ids."""
