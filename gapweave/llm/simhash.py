@@ -88,11 +88,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, most_bits: int, column: str = "fp0") -> DataFrame:
+def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Sequence[str] = ()) -> DataFrame:
     """(u, v) for each two rows of distinct (node, column) whose fingerprints differ by most_bits or fewer.
 
     Nodes with equal fingerprints are linked as well. The variants are written first, so
-    that both sides of the join read one exchange.
+    that both sides of the join read one exchange. apart: a column whose values must differ;
+    they come as cu and cv.
     """
     segs = segments(most_bits)
     variants = []
@@ -101,7 +102,7 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0") -> DataFrame
             mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
             part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
             variants.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
-    rows = written(distinct.select(*dict.fromkeys(["node", column]), F.explode(F.array(*variants)).alias("key")), "variants")
+    rows = written(distinct.select(*dict.fromkeys(["node", column, *apart]), F.explode(F.array(*variants)).alias("key")), "variants")
     x = f"(a.{column} ^ b.{column})"
     first = []
     for i, (lo, hi) in enumerate(segs):
@@ -109,8 +110,8 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0") -> DataFrame
         unlike = " and ".join([f"bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in segs[:i]] or ["true"])
         p = "cast(a.key & 63 as int)"
         first.append(f"({p} >= {lo} and {p} < {hi} and {unlike} and ((shiftright({x}, {p}) & 1) = 1 or ({p} = {lo} and ({x} & {mask}L) = 0)))")
-    on = f"a.key = b.key and a.node < b.node and bit_count({x}) <= {int(most_bits)} and ({' or '.join(first)})"
-    return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    on = f"a.key = b.key and a.node < b.node and bit_count({x}) <= {int(most_bits)} and ({' or '.join(first)})" + "".join(f" and a.{x} <> b.{x}" for x in apart)
+    return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), *(F.col(f"{side}.{x}").alias(f"c{to}") for x in apart for side, to in (("a", "u"), ("b", "v"))))
 
 
 def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, most_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,14 +146,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, seeds: Sequence[int] = (42,
     prints = written(prints.groupBy("doc_id", "th", *cols).agg(F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
     nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "nodes")
     near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {int(mean_bits * len(cols))}"
-    found = None
-    for c in cols:
-        one = written(links(nodes, most_bits, c), "links")
-        found = one if found is None else found.unionByName(one)
+    # what one pass has linked is one class to the next: a group of near copies does not give all its pairs
+    nodes = nodes.withColumn("component", F.col("node"))
+    for c, bits in [(cols[0], min(3, most_bits)), *((c, most_bits) for c in cols)]:
+        pairs = links(nodes, bits, c, ("component",)).join(nodes.select(F.col("node").alias("u"), *cols).alias("a"), "u").join(nodes.select(F.col("node").alias("v"), *cols).alias("b"), "v")
+        found = written(pairs.filter(near).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links")
         release(docs.sparkSession)
-    a, b = nodes.alias("a").withColumnRenamed("node", "u"), nodes.alias("b").withColumnRenamed("node", "v")
-    parts = connected_components(found.distinct().join(a, "u").join(b, "v").filter(near).select("u", "v"))
-    named = nodes.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if not found.limit(1).count():
+            continue
+        parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        nodes = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
+    named = nodes.select("node", "component")
     named = written(prints.select("doc_id", "th", "rows", "node").join(named, "node").drop("node"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))

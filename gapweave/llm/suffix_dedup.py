@@ -315,13 +315,14 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, most_region
     # a stretch without another in its collection is decided by its number alone
     alone = heavy.filter("m = 1").select("h", "r", F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     several = heavy.filter("m > 1")
-    texts = needed(several).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "i", "th": "t"})
+    texts = needed(several).withColumnsRenamed({"doc_id": "i", "th": "t"})
     several = several.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
     several = several.select("h", "r", F.col("w").cast("long").alias("w"), "n", "m", F.substring("text", F.col("s0") + 1, F.col("n") + (length - 1)).alias("bytes"))
-    small = several.filter(F.col("m") <= most_regions).repartition("h").sortWithinPartitions("h")
+    # a text that stands in repeated rows has given its stretches as often
+    small = several.filter(F.col("m") <= most_regions).repartition("h").dropDuplicates(["h", "r"]).sortWithinPartitions("h")
     decided = _decided(small, length)
     if heavy.filter(F.col("m") > most_regions).limit(1).count():
-        decided = decided.unionByName(_decided_apart(several.filter(F.col("m") > most_regions), length))
+        decided = decided.unionByName(_decided_apart(several.filter(F.col("m") > most_regions).dropDuplicates(["h", "r"]), length))
     decided = written(alone.unionByName(decided).filter(F.size("runs") > 0), "decided")
     cover = found.join(decided, ["h", "r"]).select("doc_id", "th", "s0", F.explode("runs").alias("x"))
     cover = cover.select("doc_id", "th", F.struct((F.col("s0") + F.col("x.lo")).alias("lo"), (F.col("s0") + F.col("x.hi") + (length - 1)).alias("hi")).alias("x"))
