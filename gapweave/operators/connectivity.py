@@ -127,7 +127,7 @@ def analytic_phase(panel: DataFrame, least: int = 20) -> DataFrame:
     even = "case when k % 2 = 1 then 2D / n / tan(pi() * k / n) else 0D end"
     odd = "1D / n * (1D / tan(pi() * k / n) - cos(pi() * k) / sin(pi() * k / n))"
     series = series.withColumn("h", F.expr(f"transform(sequence(0, n - 1), k -> case when k = 0 then 0D when n % 2 = 0 then {even} else {odd} end)"))
-    h = "aggregate(sequence(0, n - 1), 0D, (a, m) -> a + c[m] * h[(i - m + n) % n])"
+    h = "aggregate(sequence(0, n - 1), 0D, (a, m) -> a + c[m] * coalesce(h[(i - m + n) % n], h[0]))"  # h twice: computed once, not inlined
     rows = series.withColumn("p", F.expr(f"transform(sequence(0, n - 1), i -> struct(s[i].frame as frame, atan2({h}, c[i]) as phase))"))
     return rows.select(*SEGMENT, "roi_idx", F.explode("p").alias("e")).select(*SEGMENT, "roi_idx", "e.frame", "e.phase")
 

@@ -201,7 +201,7 @@ def nbs(diffs: DataFrame, threshold: float, n: int, seed: int) -> DataFrame:
         got = kn.paired_nbs(grid.to_numpy(float), i, j, threshold, n, seed)
         return pd.DataFrame([(k, c["sign"], c["extent"], sorted({int(x) for e in c["edges"] for x in (i[e], j[e])}), c["p"]) for k, c in enumerate(got)], columns=["component", "sign", "extent", "nodes", "p"])
 
-    return diffs.groupBy(F.lit(1)).applyInPandas(solve, "component int, sign int, extent int, nodes array<int>, p double")
+    return diffs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, "component int, sign int, extent int, nodes array<int>, p double")
 
 
 
