@@ -115,8 +115,10 @@ def test_information_golden():
     x = np.random.default_rng(20260818).normal(size=(240, 7))
     x[:, 3] += 0.65 * x[:, 0]
     x[:, 4] += 0.45 * x[:, 1]
-    z = kn.zscore(x)
-    assert kn.knn_mi(z[:, 0], z[:, 3], jitter=0) == pytest.approx(0.1847943721630072, abs=1e-9)
+    assert kn.knn_mi(x[:, 0], x[:, 3]) == pytest.approx(0.1847943721630072, abs=1e-12)
+    assert kn.knn_cmi(x[:, 0], x[:, 3], x[:, 6]) == pytest.approx(0.22145108731264973, abs=1e-12)
+    mi, cmi = kn.block_information(x, [0, 1], [3, 4], [5, 6])
+    assert mi.mean() == pytest.approx(0.06705220787794008, abs=1e-9) and cmi.mean() == pytest.approx(0.07152210379839707, abs=1e-9)
 
 
 def test_assignment_and_matching_golden():
