@@ -121,15 +121,17 @@ def analytic_phase(panel: DataFrame, least: int = 20) -> DataFrame:
     A segment's values are one array, so the kernel sum is a higher-order function: N^2
     steps for N frames of a segment, which the segment's length bounds.
     """
-    series = segmented(panel, max(3, least)).groupBy(*SEGMENT, "roi_idx").agg(F.sort_array(F.collect_list(F.struct("frame", "x"))).alias("s"))
-    series = series.withColumn("n", F.size("s")).withColumn("mean", F.expr("aggregate(s, 0D, (a, e) -> a + e.x) / n"))
-    series = series.withColumn("c", F.expr("transform(s, e -> e.x - mean)"))
+    own = Window.partitionBy(*SEGMENT, "roi_idx")
+    rows = segmented(panel, max(3, least)).withColumn("c", F.col("x") - F.avg("x").over(own))
+    series = rows.groupBy(*SEGMENT, "roi_idx").agg(F.sort_array(F.collect_list(F.struct("frame", "c"))).alias("s"))
     even = "case when k % 2 = 1 then 2D / n / tan(pi() * k / n) else 0D end"
     odd = "1D / n * (1D / tan(pi() * k / n) - cos(pi() * k) / sin(pi() * k / n))"
-    series = series.withColumn("h", F.expr(f"transform(sequence(0, n - 1), k -> case when k = 0 then 0D when n % 2 = 0 then {even} else {odd} end)"))
-    h = "aggregate(sequence(0, n - 1), 0D, (a, m) -> a + c[m] * coalesce(h[(i - m + n) % n], h[0]))"  # h twice: computed once, not inlined
-    rows = series.withColumn("p", F.expr(f"transform(sequence(0, n - 1), i -> struct(s[i].frame as frame, atan2({h}, c[i]) as phase))"))
-    return rows.select(*SEGMENT, "roi_idx", F.explode("p").alias("e")).select(*SEGMENT, "roi_idx", "e.frame", "e.phase")
+    kernel = f"transform(sequence(0, n - 1), k -> case when k = 0 then 0D when n % 2 = 0 then {even} else {odd} end)"
+    series = series.withColumn("n", F.size("s")).withColumns({"c": F.transform("s", lambda e: e["c"]), "h": F.expr(kernel)})
+    # the explode stands between the arrays and the sum, so that they are made once a segment
+    each = series.select(*SEGMENT, "roi_idx", "n", "c", "h", F.posexplode("s").alias("i", "e"))
+    h = F.expr("aggregate(sequence(0, n - 1), 0D, (a, m) -> a + c[m] * h[(i - m + n) % n])")
+    return each.select(*SEGMENT, "roi_idx", F.col("e.frame").alias("frame"), F.atan2(h, F.col("e.c")).alias("phase"))
 
 
 def phase_axis(phase: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import connectivity as cn
@@ -532,3 +532,59 @@ def _(spark, d):
     edges = cn.static_correlation(order_panel(spark, d)).select(*RUN, F.concat_ws("-", "i", "j").alias("endpoint"), F.col("r").alias("value"))
     diffs = nf.paired(edges, "F", "O").select("subject", F.split("endpoint", "-")[0].cast("int").alias("i"), F.split("endpoint", "-")[1].cast("int").alias("j"), "diff")
     return gp.nbs(diffs, 1.5, 99, 5)
+
+
+# further relational queries
+
+
+@query("store_subject_filter", fc_sql(HAMMING) + f"SELECT {SEGSQL}, start_frame, i, j, round(z, 6) + 0.0 AS z FROM fc WHERE subject IN ('1', '4')")
+def _(spark, d):
+    rows = cn.window_fc(order_panel(spark, d), L, S).filter(F.col("subject").isin("1", "4"))
+    return rows.select(*sg.SEGMENT, "start_frame", "i", "j", r6("z").alias("z"))
+
+
+@query("store_slice", fc_sql(HAMMING) + f", ix AS (SELECT *, (dense_rank() OVER (PARTITION BY {SEGSQL} ORDER BY start_frame) - 1)::INT AS sample_idx FROM fc) SELECT {SEGSQL}, sample_idx, i, j, round(z, 6) + 0.0 AS z FROM ix WHERE sample_idx BETWEEN 1 AND 3")
+def _(spark, d):
+    rank = (F.dense_rank().over(Window.partitionBy(*sg.SEGMENT).orderBy("start_frame")) - 1).cast("int")
+    rows = cn.window_fc(order_panel(spark, d), L, S).withColumn("sample_idx", rank).filter("sample_idx between 1 and 3")
+    return rows.select(*sg.SEGMENT, "sample_idx", "i", "j", r6("z").alias("z"))
+
+
+SPECTRUMSQL = ", v AS (SELECT subject, session, roi_idx, var_pop(x) AS v FROM panel GROUP BY ALL), p AS (SELECT subject, session, v / sum(v) OVER q AS p, row_number() OVER (PARTITION BY subject, session ORDER BY v DESC, roi_idx) AS k FROM v WINDOW q AS (PARTITION BY subject, session)) "
+
+
+def _spectrum(spark, d):
+    """Channel variances of each run as a spectrum: proportion p of rank k."""
+    v = order_panel(spark, d).groupBy(*RUN, "roi_idx").agg(F.var_pop("x").alias("v"))
+    own = Window.partitionBy(*RUN)
+    return v.withColumns({"p": F.col("v") / F.sum("v").over(own), "k": F.row_number().over(own.orderBy(F.col("v").desc(), "roi_idx"))})
+
+
+@query("effective_rank_fixed_spectrum", SPECTRUMSQL + f"SELECT {RUNSQL}, round(exp(-sum(p * ln(p))), 6) + 0.0 AS effective_rank FROM p WHERE p > 0 GROUP BY ALL")
+def _(spark, d):
+    return _spectrum(spark, d).filter("p > 0").groupBy(*RUN).agg(r6(F.exp(-F.sum(F.col("p") * F.log("p")))).alias("effective_rank"))
+
+
+@query("eigen_concentration", SPECTRUMSQL + f"SELECT {RUNSQL}, round(sum(p), 6) + 0.0 AS concentration FROM p WHERE k <= 2 GROUP BY ALL")
+def _(spark, d):
+    return _spectrum(spark, d).filter("k <= 2").groupBy(*RUN).agg(r6(F.sum("p")).alias("concentration"))
+
+
+@query("subject_disjoint_check", "SELECT count(*)::BIGINT AS shared FROM (SELECT DISTINCT subject FROM keep WHERE subject < '5') a JOIN (SELECT DISTINCT subject FROM keep WHERE subject >= '4') b USING (subject)")
+def _(spark, d):
+    panel = order_panel(spark, d).select("subject").distinct()
+    return panel.filter("subject < '5'").join(panel.filter("subject >= '4'"), "subject", "left_semi").agg(F.count("*").alias("shared"))
+
+
+@query("nbs_components", GRSQL.format(target=10) + """, ed AS (SELECT i, j, avg(w) AS w FROM ge GROUP BY ALL), pk AS (SELECT i, j FROM (SELECT *, row_number() OVER (ORDER BY w DESC, i, j) AS r FROM ed) WHERE r <= 3),
+bo AS (SELECT i AS node, j AS other FROM pk UNION SELECT j, i FROM pk), re AS (SELECT node, other FROM bo), r2 AS (SELECT a.node, b.other FROM bo a JOIN bo b ON a.other = b.node UNION SELECT * FROM re), r4 AS (SELECT a.node, b.other FROM r2 a JOIN r2 b ON a.other = b.node UNION SELECT * FROM r2)
+SELECT node, least(node, min(other))::INT AS component FROM r4 GROUP BY node""")
+def _(spark, d):
+    mean = _graph(spark, d).groupBy("i", "j").agg(F.avg("w").alias("w")).orderBy(F.col("w").desc(), "i", "j").limit(3)
+    return nf.components(mean.select("i", "j"), 5)
+
+
+@query("information_session_summary")
+def _(spark, d):
+    rows = gp.window_information(order_panel(spark, d), L, S, [0, 1], [2, 3], [4])
+    return rows.groupBy(*RUN).agg(F.avg("mi").alias("mean_mi"), F.stddev_pop("mi").alias("sd_mi"), F.avg("cmi").alias("mean_cmi"), F.stddev_pop("cmi").alias("sd_cmi"), F.count("*").alias("n"))
