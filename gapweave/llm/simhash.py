@@ -11,6 +11,7 @@ Copies are folded before the join: it runs over distinct fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -51,10 +52,11 @@ def fingerprint(hashes: Sequence[int]) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,), text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,), text: str = "text", keep: Sequence[str] = ("doc_id",), repeats: bool = True) -> DataFrame:
     """The columns keep, and fp0, fp1, ... (long, the bits of the unsigned value), one for each seed.
 
-    Null and empty texts, and texts without a word, have the fingerprint 0.
+    Null and empty texts, and texts without a word, have the fingerprint 0. Without repeats
+    each shingle of a text counts once, as in the similarity of shingle sets.
     """
     tune(docs.sparkSession)
     seeds = tuple(seeds)
@@ -65,6 +67,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,),
             out: list[list[int]] = [[] for _ in seeds]
             for t in blobs(b.column(len(keep))):
                 h = np.array(shingle_hashes(t, words, seeds[0]), np.uint64)
+                h = h if repeats else np.unique(h)
                 for i in range(len(seeds)):
                     # further fingerprints come from the same hashes, mixed with another factor
                     x = h if not i else (h * salts[i]) ^ (h * salts[i] >> np.uint64(32))
@@ -88,13 +91,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Sequence[str] = ()) -> DataFrame:
+def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Sequence[str] = (), total: tuple[Sequence[str], int] | None = None) -> DataFrame:
     """(u, v) for each two rows of distinct (node, column) whose fingerprints differ by most_bits or fewer.
 
     Nodes with equal fingerprints are linked as well. The variants are written first, so
     that both sides of the join read one exchange. apart: a column whose values must differ;
-    they come as cu and cv.
+    they come as cu and cv. total (columns, bits): most_bits sets the segments only, and a
+    pair is linked if one segment differs by a bit at most and the columns together by so many.
     """
+    verify = (column,) if total is None else tuple(total[0])
+    limit = most_bits if total is None else total[1]
     segs = segments(most_bits)
     variants = []
     for lo, hi in segs:
@@ -102,7 +108,7 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Seque
             mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
             part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
             variants.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
-    rows = written(distinct.select(*dict.fromkeys(["node", column, *apart]), F.explode(F.array(*variants)).alias("key")), "variants")
+    rows = written(distinct.select(*dict.fromkeys(["node", column, *verify, *apart]), F.explode(F.array(*variants)).alias("key")), "variants")
     x = f"(a.{column} ^ b.{column})"
     first = []
     for i, (lo, hi) in enumerate(segs):
@@ -110,7 +116,8 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Seque
         unlike = " and ".join([f"bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in segs[:i]] or ["true"])
         p = "cast(a.key & 63 as int)"
         first.append(f"({p} >= {lo} and {p} < {hi} and {unlike} and ((shiftright({x}, {p}) & 1) = 1 or ({p} = {lo} and ({x} & {mask}L) = 0)))")
-    on = f"a.key = b.key and a.node < b.node and bit_count({x}) <= {int(most_bits)} and ({' or '.join(first)})" + "".join(f" and a.{x} <> b.{x}" for x in apart)
+    bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in verify)
+    on = f"a.key = b.key and a.node < b.node and {bits} <= {int(limit)} and ({' or '.join(first)})" + "".join(f" and a.{x} <> b.{x}" for x in apart)
     return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), *(F.col(f"{side}.{x}").alias(f"c{to}") for x in apart for side, to in (("a", "u"), ("b", "v"))))
 
 
@@ -130,26 +137,36 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, most_bit
     return prints.join(found, "fp0").select("doc_id", "fp0", "component_id", "class_size")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, seeds: Sequence[int] = (42, 43, 44), most_bits: int = 7, mean_bits: float = 10.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def expected_bits(similarity: float, bits: int) -> float:
+    """Differing bits, in the mean, of fingerprints of so many bits of sets with this similarity."""
+    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 3, most_bits: int = 7, slack: float = 1.25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of about 0.8 or more.
 
     th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
-    of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits in
-    the mean (9.7 at J = 0.8). Several fingerprints are indexed, each at most_bits; a
-    candidate is a link if all of them together differ by mean_bits a fingerprint or fewer.
+    of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits a
+    fingerprint in the mean (9.7 at J = 0.8). The first fingerprints (indexed) are cut into
+    segments as for most_bits. A pair with a segment that differs by a bit at most is a
+    candidate if the indexed fingerprints together differ by slack times the mean or fewer,
+    and a link if all of them together, 1024 bits, differ by the mean or fewer.
     keeper is true for one (doc_id, th) of each class, the smallest, a null before all.
     Texts without a word are one another's copies.
     """
     cols = [f"fp{i}" for i in range(len(seeds))]
+    keys = cols[:indexed]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = fingerprints(docs.withColumn("th", F.xxhash64("text")), words, seeds, keep=("doc_id", "th"))
-    prints = written(prints.groupBy("doc_id", "th", *cols).agg(F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
-    nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "nodes")
-    near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {int(mean_bits * len(cols))}"
+    prints = fingerprints(docs.withColumn("th", F.xxhash64("text")), words, seeds, keep=("doc_id", "th"), repeats=False)
+    prints = written(prints.groupBy("doc_id", "th").agg(*(F.min(c).alias(c) for c in cols), F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
+    whole = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "whole")
+    near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {round(expected_bits(similarity, BITS * len(cols)))}"
+    total = (keys, int(slack * expected_bits(similarity, BITS * len(keys))))
     # what one pass has linked is one class to the next: a group of near copies does not give all its pairs
-    nodes = nodes.withColumn("component", F.col("node"))
-    for c, bits in [(cols[0], min(3, most_bits)), *((c, most_bits) for c in cols)]:
-        pairs = links(nodes, bits, c, ("component",)).join(nodes.select(F.col("node").alias("u"), *cols).alias("a"), "u").join(nodes.select(F.col("node").alias("v"), *cols).alias("b"), "v")
+    nodes = whole.select("node", *keys, F.col("node").alias("component"))
+    for c, bits, within in [(keys[0], min(3, most_bits), None), *((c, most_bits, total) for c in keys)]:
+        pairs = links(nodes, bits, c, ("component",), within)
+        pairs = pairs.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
         found = written(pairs.filter(near).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links")
         release(docs.sparkSession)
         if not found.limit(1).count():
