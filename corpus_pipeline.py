@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates (five-word shingles, similarity about 0.8 or more)."""
-    return simhash.one_of_each(docs, words=5, seeds=(42, 43, 44), most_bits=7, mean_bits=10.0)
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
