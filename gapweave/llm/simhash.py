@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import release, tune, written
+from .scratch import drop, release, tune, written
 from .textcore import blobs
 
 BITS = 64
@@ -118,7 +118,9 @@ def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Seque
         first.append(f"({p} >= {lo} and {p} < {hi} and {unlike} and ((shiftright({x}, {p}) & 1) = 1 or ({p} = {lo} and ({x} & {mask}L) = 0)))")
     bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in verify)
     on = f"a.key = b.key and a.node < b.node and {bits} <= {int(limit)} and ({' or '.join(first)})" + "".join(f" and a.{x} <> b.{x}" for x in apart)
-    return rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), *(F.col(f"{side}.{x}").alias(f"c{to}") for x in apart for side, to in (("a", "u"), ("b", "v"))))
+    out = rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), *(F.col(f"{side}.{x}").alias(f"c{to}") for x in apart for side, to in (("a", "u"), ("b", "v"))))
+    out._gapweave_path = rows._gapweave_path  # drop() of the links removes the variants
+    return out
 
 
 def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, most_bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,10 +166,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
     total = (keys, int(slack * expected_bits(similarity, BITS * len(keys))))
     # what one pass has linked is one class to the next: a group of near copies does not give all its pairs
     nodes = whole.select("node", *keys, F.col("node").alias("component"))
-    for c, bits, within in [(keys[0], min(3, most_bits), None), *((c, most_bits, total) for c in keys)]:
-        pairs = links(nodes, bits, c, ("component",), within)
-        pairs = pairs.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
+    for c, bits, within in [(keys[0], min(3, most_bits), None), (keys[0], most_bits, None), *((c, most_bits, total) for c in keys)]:
+        linked = links(nodes, bits, c, ("component",), within)
+        pairs = linked.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
         found = written(pairs.filter(near).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links")
+        drop(linked)
+        del linked, pairs
         release(docs.sparkSession)
         if not found.limit(1).count():
             continue
