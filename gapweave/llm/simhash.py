@@ -144,45 +144,124 @@ def expected_bits(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 3, most_bits: int = 7, slack: float = 1.25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of about 0.8 or more.
+def _segment_rows(nodes: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
+    """nodes, once for each bit of the segment lo..hi of column: key (segment without the bit, and its place)."""
+    keys = []
+    for p in range(lo, hi):
+        mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
+        part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
+        keys.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
+    return nodes.withColumn("key", F.explode(F.array(*keys)))
+
+
+def _first_variant(column: str, lo: int, hi: int, earlier: Sequence[tuple[int, int]]) -> str:
+    """Condition that a pair (a, b) meets at one key only, and in no earlier segment of the column."""
+    x, p = f"(a.{column} ^ b.{column})", "cast(a.key & 63 as int)"
+    same = f"({p} = {lo} and ({x} & {_signed((1 << hi) - (1 << lo))}L) = 0)"
+    unlike = "".join(f" and bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in earlier)
+    return f"((shiftright({x}, {p}) & 1) = 1 or {same}){unlike}"
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 3, screened: int = 5, most_bits: int = 7, slack: float = 1.2, margin: float = 2.0, centres: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of 0.8 or more.
 
     th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
     of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits a
     fingerprint in the mean (9.7 at J = 0.8). The first fingerprints (indexed) are cut into
     segments as for most_bits. A pair with a segment that differs by a bit at most is a
-    candidate if the indexed fingerprints together differ by slack times the mean or fewer,
-    and a link if all of them together, 1024 bits, differ by the mean or fewer.
+    candidate if the first fingerprints (screened) together differ by slack times the mean
+    or fewer. All fingerprints together (1024 bits) decide it where they are margin standard
+    deviations or more from the mean; between, the shingle sets themselves do, exactly.
+
+    Stars come first: each key's nodes meet a few of its nodes only (centres), so that a large
+    group of near copies is one class before pairs are made; pairs within a class are not made.
+    Every segment is a join of its own, which bounds the disk that its variants take.
     keeper is true for one (doc_id, th) of each class, the smallest, a null before all.
     Texts without a word are one another's copies.
     """
+    spark = docs.sparkSession
     cols = [f"fp{i}" for i in range(len(seeds))]
-    keys = cols[:indexed]
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    prints = fingerprints(docs.withColumn("th", F.xxhash64("text")), words, seeds, keep=("doc_id", "th"), repeats=False)
+    screen = cols[:screened]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    prints = fingerprints(docs, words, seeds, keep=("doc_id", "th"), repeats=False)
     prints = written(prints.groupBy("doc_id", "th").agg(*(F.min(c).alias(c) for c in cols), F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
     whole = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "whole")
-    near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols) + f" <= {round(expected_bits(similarity, BITS * len(cols)))}"
-    total = (keys, int(slack * expected_bits(similarity, BITS * len(keys))))
-    # what one pass has linked is one class to the next: a group of near copies does not give all its pairs
-    nodes = whole.select("node", *keys, F.col("node").alias("component"))
-    for c, bits, within in [(keys[0], min(3, most_bits), None), (keys[0], most_bits, None), *((c, most_bits, total) for c in keys)]:
-        linked = links(nodes, bits, c, ("component",), within)
-        pairs = linked.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
-        found = written(pairs.filter(near).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "links")
-        drop(linked)
-        del linked, pairs
-        release(docs.sparkSession)
+    nodes = whole.select("node", *screen, F.col("node").alias("component"))
+
+    total = BITS * len(cols)
+    mean = expected_bits(similarity, total)
+    width = margin * math.sqrt(mean * (1 - mean / total))
+    bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols)
+    near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in screen) + f" <= {int(slack * expected_bits(similarity, BITS * len(screen)))}"
+    segs = segments(most_bits)
+    open_pairs: list[DataFrame] = []
+
+    def pass_over(nodes: DataFrame, column: str, among: range, star: bool) -> DataFrame:
+        """nodes with the classes of the links of these segments joined; undecided pairs go to open_pairs."""
+        sure = []
+        for i in among:
+            lo, hi = segs[i]
+            rows = _segment_rows(nodes, column, lo, hi)
+            if star:
+                least = rows.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("turn"), "node", *screen, "component")) for n in range(centres))).alias("least"))
+                least = least.select("key", F.explode(F.array_distinct("least")).alias("least")).select("key", "least.*")
+                met = rows.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and a.component <> b.component and {near}"))
+            else:
+                met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, lo, hi, segs[:i])}"))
+            met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.component").alias("cu"), F.col("b.component").alias("cv"))
+            if star:
+                met = met.distinct()
+            pairs = met.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
+            judged = written(pairs.select("u", "v", "cu", "cv", F.expr(bits).alias("bits")).filter(F.col("bits") <= mean + width), "met")
+            sure.append(judged.filter(F.col("bits") <= mean - width).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+            open_pairs.append(judged.filter(F.col("bits") > mean - width).select("u", "v"))
+            release(spark)
+        return contracted(nodes, _all(sure).distinct())
+
+    def contracted(nodes: DataFrame, found: DataFrame) -> DataFrame:
         if not found.limit(1).count():
-            continue
+            return nodes
         parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        nodes = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
-    named = nodes.select("node", "component")
-    named = written(prints.select("doc_id", "th", "rows", "node").join(named, "node").drop("node"), "classes")
+        out = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
+        release(spark)
+        return out
+
+    every, first = range(len(segs)), cols[0]
+    for column, among, star in [(first, every, True), (first, every[:1], False), (first, every[1:], False), *((c, every, False) for c in cols[1:indexed])]:
+        nodes = pass_over(nodes, column, among, star)
+    of = nodes.select("node", "component")
+    pairs = _all(open_pairs).distinct().join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+    pairs = written(pairs.filter("cu <> cv"), "open")
+    nodes = contracted(nodes, _alike(docs, prints, pairs, words, similarity, seeds[0]).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    named = written(prints.select("doc_id", "th", "rows", "node").join(nodes.select("node", "component"), "node").drop("node"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))
 
 
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Those pairs (u, v, ...) whose shingle sets have the similarity or more; one text is read for each node."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, words, seed), np.uint64)).view(np.int64) for t in blobs(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    one = prints.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("node", F.col("one.doc_id").alias("i"), F.col("one.th").alias("t"))
+    texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
+    sets = written(texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs, all columns, with one row of each near-duplicate class; how: as near_duplicates."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
