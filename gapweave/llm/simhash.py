@@ -154,11 +154,11 @@ def _segment_rows(nodes: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
     return nodes.withColumn("key", F.explode(F.array(*keys)))
 
 
-def _first_variant(column: str, lo: int, hi: int, earlier: Sequence[tuple[int, int]]) -> str:
-    """Condition that a pair (a, b) meets at one key only, and in no earlier segment of the column."""
+def _first_variant(column: str, lo: int, hi: int, earlier: Sequence[tuple[str, int, int]]) -> str:
+    """Condition that a pair (a, b) meets at one key only, and in no earlier segment (column, lo, hi)."""
     x, p = f"(a.{column} ^ b.{column})", "cast(a.key & 63 as int)"
     same = f"({p} = {lo} and ({x} & {_signed((1 << hi) - (1 << lo))}L) = 0)"
-    unlike = "".join(f" and bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in earlier)
+    unlike = "".join(f" and bit_count((a.{c} ^ b.{c}) & {_signed((1 << h) - (1 << l))}L) > 1" for c, l, h in earlier)
     return f"((shiftright({x}, {p}) & 1) = 1 or {same}){unlike}"
 
 
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
     near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in screen) + f" <= {int(slack * expected_bits(similarity, BITS * len(screen)))}"
     segs = segments(most_bits)
     open_pairs: list[DataFrame] = []
+    done: list[tuple[str, int, int]] = []  # segments whose pairs have been made
 
     def pass_over(nodes: DataFrame, column: str, among: range, star: bool) -> DataFrame:
         """nodes with the classes of the links of these segments joined; undecided pairs go to open_pairs."""
@@ -207,7 +208,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
                 least = least.select("key", F.explode(F.array_distinct("least")).alias("least")).select("key", "least.*")
                 met = rows.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and a.component <> b.component and {near}"))
             else:
-                met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, lo, hi, segs[:i])}"))
+                met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, lo, hi, done)}"))
+                done.append((column, lo, hi))
             met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.component").alias("cu"), F.col("b.component").alias("cv"))
             if star:
                 met = met.distinct()
