@@ -144,83 +144,99 @@ def expected_bits(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _segment_rows(nodes: DataFrame, column: str, lo: int, hi: int) -> DataFrame:
-    """nodes, once for each bit of the segment lo..hi of column: key (segment without the bit, and its place)."""
+def _segment_rows(nodes: DataFrame, column: str, segs: Sequence[tuple[int, int]]) -> DataFrame:
+    """nodes, once for each bit of these segments of column: key (the segment without the bit, and its place)."""
     keys = []
-    for p in range(lo, hi):
-        mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
-        part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
-        keys.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
+    for lo, hi in segs:
+        for p in range(lo, hi):
+            mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
+            part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
+            keys.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
     return nodes.withColumn("key", F.explode(F.array(*keys)))
 
 
-def _first_variant(column: str, lo: int, hi: int, earlier: Sequence[tuple[str, int, int]]) -> str:
-    """Condition that a pair (a, b) meets at one key only, and in no earlier segment (column, lo, hi)."""
+def _first_variant(column: str, segs: Sequence[tuple[int, int]], earlier: Sequence[tuple[str, int, int]]) -> str:
+    """Condition that a pair (a, b) meets at one key of these segments only, and in no earlier one (column, lo, hi)."""
     x, p = f"(a.{column} ^ b.{column})", "cast(a.key & 63 as int)"
-    same = f"({p} = {lo} and ({x} & {_signed((1 << hi) - (1 << lo))}L) = 0)"
-    unlike = "".join(f" and bit_count((a.{c} ^ b.{c}) & {_signed((1 << h) - (1 << l))}L) > 1" for c, l, h in earlier)
-    return f"((shiftright({x}, {p}) & 1) = 1 or {same}){unlike}"
+
+    def unlike(before: Sequence[tuple[str, int, int]]) -> str:
+        return "".join(f" and bit_count((a.{c} ^ b.{c}) & {_signed((1 << h) - (1 << l))}L) > 1" for c, l, h in before)
+
+    first = []
+    for i, (lo, hi) in enumerate(segs):
+        same = f"({p} = {lo} and ({x} & {_signed((1 << hi) - (1 << lo))}L) = 0)"
+        first.append(f"({p} >= {lo} and {p} < {hi} and ((shiftright({x}, {p}) & 1) = 1 or {same}){unlike([(column, l, h) for l, h in segs[:i]])})")
+    return f"({' or '.join(first)}){unlike(earlier)}"
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 3, screened: int = 5, most_bits: int = 7, slack: float = 1.2, margin: float = 2.0, centres: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 7, screened: int = 5, most_bits: int = 7, slack: float = 6.0, margin: float = 8.0, centres: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of 0.8 or more.
 
     th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
     of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits a
     fingerprint in the mean (9.7 at J = 0.8). The first fingerprints (indexed) are cut into
-    segments as for most_bits. A pair with a segment that differs by a bit at most is a
-    candidate if the first fingerprints (screened) together differ by slack times the mean
-    or fewer. All fingerprints together (1024 bits) decide it where they are margin standard
-    deviations or more from the mean; between, the shingle sets themselves do, exactly.
-
-    Stars come first: each key's nodes meet a few of its nodes only (centres), so that a large
-    group of near copies is one class before pairs are made; pairs within a class are not made.
-    Every segment is a join of its own, which bounds the disk that its variants take.
+    segments as for most_bits. A pair with a segment that differs by a bit at most (28 of
+    16 bits: all but 1e-4 of the pairs at J = 0.8) is a candidate. Bits only drop pairs far
+    from the threshold: those slack standard deviations above the mean in the first
+    fingerprints (screened), or margin above it in all of them (1024 bits). Every other
+    pair, however alike its bits, is a link only if the shingle sets have the similarity.
+
+    Stars come first: each key's nodes meet a few of its nodes only (centres) and each node
+    keeps its nearest, so that a large group of near copies is one class before pairs are
+    made; pairs within a class are not made. Two segments are a join of their own, which
+    bounds the disk that their variants take.
     keeper is true for one (doc_id, th) of each class, the smallest, a null before all.
     Texts without a word are one another's copies.
     """
     spark = docs.sparkSession
     cols = [f"fp{i}" for i in range(len(seeds))]
-    screen = cols[:screened]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     prints = fingerprints(docs, words, seeds, keep=("doc_id", "th"), repeats=False)
     prints = written(prints.groupBy("doc_id", "th").agg(*(F.min(c).alias(c) for c in cols), F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
     whole = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "whole")
-    nodes = whole.select("node", *screen, F.col("node").alias("component"))
+    nodes = whole.select("node", *cols[: max(indexed, screened)], F.col("node").alias("component"))
 
-    total = BITS * len(cols)
-    mean = expected_bits(similarity, total)
-    width = margin * math.sqrt(mean * (1 - mean / total))
+    def most(columns: Sequence[str], deviations: float) -> str:
+        """Condition that a pair's bits in these columns are at most so many standard deviations above the mean."""
+        n = BITS * len(columns)
+        mean = expected_bits(similarity, n)
+        return " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in columns) + f" <= {int(mean + deviations * math.sqrt(mean * (1 - mean / n)))}"
+
+    near = most(cols[:screened], slack)
     bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols)
-    near = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in screen) + f" <= {int(slack * expected_bits(similarity, BITS * len(screen)))}"
     segs = segments(most_bits)
-    open_pairs: list[DataFrame] = []
     done: list[tuple[str, int, int]] = []  # segments whose pairs have been made
 
-    def pass_over(nodes: DataFrame, column: str, among: range, star: bool) -> DataFrame:
-        """nodes with the classes of the links of these segments joined; undecided pairs go to open_pairs."""
-        sure = []
-        for i in among:
-            lo, hi = segs[i]
-            rows = _segment_rows(nodes, column, lo, hi)
-            if star:
-                least = rows.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("turn"), "node", *screen, "component")) for n in range(centres))).alias("least"))
-                least = least.select("key", F.explode(F.array_distinct("least")).alias("least")).select("key", "least.*")
-                met = rows.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and a.component <> b.component and {near}"))
-            else:
-                met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, lo, hi, done)}"))
-                done.append((column, lo, hi))
-            met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.component").alias("cu"), F.col("b.component").alias("cv"))
-            if star:
-                met = met.distinct()
-            pairs = met.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
-            judged = written(pairs.select("u", "v", "cu", "cv", F.expr(bits).alias("bits")).filter(F.col("bits") <= mean + width), "met")
-            sure.append(judged.filter(F.col("bits") <= mean - width).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-            open_pairs.append(judged.filter(F.col("bits") > mean - width).select("u", "v"))
-            release(spark)
-        return contracted(nodes, _all(sure).distinct())
-
-    def contracted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    def candidates(nodes: DataFrame, at: int, some: Sequence[tuple[int, int]], star: bool) -> DataFrame:
+        """(u, v, bits) of pairs between classes that meet in these segments of a column."""
+        column = cols[at]
+        carried = cols[: max(screened, at + 1)]
+        rows = _segment_rows(nodes.select("node", *carried, "component"), column, some)
+        if star:
+            least = rows.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("turn"), "node", *carried, "component")) for n in range(centres))).alias("least"))
+            least = least.select("key", F.explode(F.array_distinct("least")).alias("least")).select("key", "least.*")
+            met = rows.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and a.component <> b.component and {near}"))
+        else:
+            met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, some, done)}"))
+            done.extend((column, lo, hi) for lo, hi in some)
+        met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        if star:
+            met = met.distinct()
+        pairs = met.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
+        out = pairs.filter(most(cols, margin)).select("u", "v", F.expr(bits).alias("bits"))
+        if star:
+            out = out.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x")).select("u", "x.v", "x.bits")
+        out = written(out, "met")
+        release(spark)
+        return out
+
+    def joined(nodes: DataFrame, pairs: list[DataFrame]) -> DataFrame:
+        """nodes with the classes joined of those pairs whose shingle sets are alike."""
+        of = nodes.select("node", "component")
+        apart = _all(pairs).select("u", "v").distinct().join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+        apart = written(apart.filter("cu <> cv"), "open")
+        found = written(_alike(docs, prints, apart, words, similarity, seeds[0]).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike")
+        release(spark)
         if not found.limit(1).count():
             return nodes
         parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
@@ -228,13 +244,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
         release(spark)
         return out
 
-    every, first = range(len(segs)), cols[0]
-    for column, among, star in [(first, every, True), (first, every[:1], False), (first, every[1:], False), *((c, every, False) for c in cols[1:indexed])]:
-        nodes = pass_over(nodes, column, among, star)
-    of = nodes.select("node", "component")
-    pairs = _all(open_pairs).distinct().join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
-    pairs = written(pairs.filter("cu <> cv"), "open")
-    nodes = contracted(nodes, _alike(docs, prints, pairs, words, similarity, seeds[0]).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    halves = [segs[i : i + 2] for i in range(0, len(segs), 2)]
+    nodes = joined(nodes, [candidates(nodes, 0, some, True) for some in halves])
+    nodes = joined(nodes, [candidates(nodes, 0, halves[0], False)])
+    rest = [(0, some) for some in halves[1:]] + [(at, some) for at in range(1, indexed) for some in halves]
+    nodes = joined(nodes, [candidates(nodes, at, some, False) for at, some in rest])
     named = written(prints.select("doc_id", "th", "rows", "node").join(nodes.select("node", "component"), "node").drop("node"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))
@@ -247,8 +261,11 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
-    """Those pairs (u, v, ...) whose shingle sets have the similarity or more; one text is read for each node."""
+def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int, most_ids: int = 1_000_000) -> DataFrame:
+    """Those pairs (u, v, ...) whose shingle sets have the similarity or more; one text is read for each node.
+
+    most_ids: nodes up to which their documents' ids are broadcast, so that texts are not shuffled.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,6 +274,8 @@ def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, sim
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     one = prints.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("node", F.col("one.doc_id").alias("i"), F.col("one.th").alias("t"))
+    one = written(one, "ones")
+    one = F.broadcast(one) if one.count() <= most_ids else one
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
     sets = written(texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")

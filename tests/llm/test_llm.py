@@ -98,6 +98,23 @@ def test_one_of_each_keeps_one_row(spark, odd):
     assert sum(t is not None and t.startswith(base[:100]) and "\n" not in t for t in texts) == 1
 
 
+def test_near_duplicates_equal_brute_force_on_pairs(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in range(160):  # pairs alone, at similarities just below, at and above 0.8
+        w = [f"{n}x{rng.randrange(10**6)}" for _ in range(94)]
+        texts += [" ".join(w), " ".join(w[: (72, 70, 76, 68)[n % 4] + 4] + [f"y{n}"] * (0, 0, 2, 1)[n % 4])]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5, 42)) for t in texts]  # every fourth pair: 72 of 90, exactly 0.8
+    alike = {(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert 40 <= len(alike) < 160
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = {}
+    for r in rows:
+        classes.setdefault(r.component, []).append(r.doc_id)
+    assert {tuple(sorted(c)) for c in classes.values() if len(c) > 1} == alike
+    assert sum(r.keeper for r in rows) == len(texts) - len(alike)
+
+
 def test_decontamination_equals_brute_force(spark, odd, empty):
     rng = random.Random(5)
     items = [(i, words(rng, n)) for i, n in enumerate([3, 5, 8, 15, 40, 90, 300])] + [(8, None), (9, "")]
