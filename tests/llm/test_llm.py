@@ -208,6 +208,18 @@ def test_reshard(spark, tmp_path):
     assert spark.read.parquet(path).count() == len(rows)
 
 
+def test_reshard_moves_the_fewest_bytes(spark):
+    apart = [(i, 100, 0) for i in range(20)] + [(100 + i, 1, 1) for i in range(2000)]  # large ones in one shard, small in the other
+    got = sharding.reshard(spark.createDataFrame(apart, "doc_id long, size long, old_shard int"), 2, ["doc_id"])
+    assert got.filter("old_shard <> shard").count() == 0
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 10) if i % 6 > 2 else rng.randint(50, 400), i % 6) for i in range(3000)]
+    old = [sum(r[1] for r in rows if r[2] == i) for i in range(6)]
+    got = sharding.reshard(spark.createDataFrame(rows, "doc_id long, size long, old_shard int"), 8, ["doc_id"]).collect()
+    least = sum(old) - sum(min(x, sum(old) / 8) for x in old)
+    assert least - 8 * 400 <= sum(r.size for r in got if r.shard != r.old_shard) <= least + 8 * 400
+
+
 def test_quality_rules_odd_rows(spark, odd, empty):
     import re
 
