@@ -43,6 +43,23 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+#: low bits of a hash that give way to a position when least hashes are sought
+PLACE_BITS = 25
+
+
+def _anchors(h: np.ndarray, w: int) -> np.ndarray:
+    """Position of the least of each w hashes in a row, the first on a tie; a block of positions at a time."""
+    most = 1 << PLACE_BITS
+    if w > most // 2:
+        raise ValueError(f"windows of {w} hashes do not fit {PLACE_BITS} bits of position")
+    place = np.uint64(most - 1)
+    out = []
+    for s in range(0, len(h) - w + 1, most - w + 1):  # a block's last window ends at its last position
+        x = h[s : s + most]
+        out.append((_sliding_least((x & ~place) | np.arange(len(x), dtype=np.uint64), w) & place).astype(np.int64) + s)
+    return np.concatenate(out)
+
+
 def stretches(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     """Of each run of starts of equal anchor: text, first start, number of starts, anchor hash."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -52,12 +69,11 @@ def stretches(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]
         return none
     at = np.arange(len(data) - k + 1)
     h = range_hash(prefix_hash(data), at, at + k, inverse_powers(len(data) + 1))
-    place = np.uint64((1 << 25) - 1)
-    least = _sliding_least((h & ~place) | at.astype(np.uint64), length - k + 1) & place
+    least = _anchors(h, length - k + 1)
     starts = np.arange(len(least))
     of = np.repeat(np.arange(len(texts)), np.diff(begins))[: len(least)]
     good = starts + length <= begins[of + 1]
-    starts, of, least = starts[good], of[good], least[good].astype(np.int64)
+    starts, of, least = starts[good], of[good], least[good]
     if not len(starts):
         return none
     first = np.flatnonzero(np.diff(least, prepend=-1) | np.diff(of, prepend=-1))

@@ -177,6 +177,21 @@ def test_without_repeats(spark, odd, how):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_equal_strings_have_equal_anchors_beyond_the_place_width(monkeypatch):
+    rng = random.Random(7)
+    passage = rng.randbytes(400)
+    texts = [rng.randbytes(300) + passage + rng.randbytes(4500) + passage + rng.randbytes(70), rng.randbytes(90) + passage]
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 9)
+    anchors, starts = {}, set()
+    for d, s0, n, h in zip(*(x.tolist() for x in suffix_dedup.stretches(texts, 50, 10))):
+        for i in range(s0, s0 + n):
+            starts.add((d, i))
+            anchors.setdefault(texts[d][i : i + 50], set()).add(h)
+            assert h in suffix_dedup.range_hash(suffix_dedup.prefix_hash(np.frombuffer(texts[d][i : i + 50], np.uint8)), np.arange(41), np.arange(10, 51), suffix_dedup.inverse_powers(51)).tolist()
+    assert starts == {(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)}
+    assert all(len(x) == 1 for x in anchors.values())
+
+
 def test_without_repeats_of_nothing(empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
