@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -137,18 +139,20 @@ def kmeans_fit(rows: DataFrame, n_states: int, seed: int, n_init: int = 3, max_i
     return sorted([float(x * s + m) for x, s, m in zip(c, scale, mean)] for c in best.clusterCenters())
 
 
-def hmm_fit(rows: DataFrame, n_states: int, seed: int, n_iter: int = 20, tol: float = 1e-3, least: int = 2) -> dict:
+def hmm_fit(rows: DataFrame, n_states: int, seed: int, n_iter: int = 200, tol: float = 1e-3, least: int = 2) -> dict:
     """Gaussian HMM (diagonal) by EM; E-steps are grouped by sequence, and only their sums reach the driver.
 
     rows: SEGMENT, start_frame, values. Sums are added in partitions first, so the driver
-    gets one set of statistics for each task, not for each sequence.
+    gets one set of statistics for each task, not for each sequence. The model tells how
+    many rounds it took (n_iter) and whether a round gained less than tol (converged); a
+    warning is given if none did.
     """
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*SEGMENT))).filter(F.col("_n") >= least)
     seqs = rows.groupBy(*SEGMENT).agg(F.sort_array(F.collect_list(F.struct("start_frame", "values"))).alias("s")).persist()
     centres = np.array(kmeans_fit(rows, n_states, seed))
     spread = rows.select(F.posexplode("values").alias("f", "v")).groupBy("f").agg(F.var_pop("v").alias("s")).orderBy("f").collect()
     model = {"start": np.full(n_states, 1 / n_states), "move": np.full((n_states, n_states), 0.2 / max(1, n_states - 1)) + np.eye(n_states) * (0.8 - 0.2 / max(1, n_states - 1)), "mean": centres, "cov": np.array([np.diag([r["s"] + 1e-3 for r in spread])] * n_states)}
-    last = -np.inf
+    last, rounds, converged = -np.inf, 0, False
     for _ in range(n_iter):
         shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -167,12 +171,15 @@ def hmm_fit(rows: DataFrame, n_states: int, seed: int, n_iter: int = 20, tol: fl
 
         stats = [pickle.loads(r[0]) for r in seqs.mapInPandas(e_step, "blob binary").collect()]
         model = kn.m_step(stats)
-        now = sum(s["loglik"] for s in stats)
+        now, rounds = sum(s["loglik"] for s in stats), rounds + 1
         if now - last < tol:
+            converged = True
             break
         last = now
     seqs.unpersist()
-    return model | {"loglik": now}
+    if not converged:
+        warnings.warn(f"hmm_fit: the tolerance {tol} was not reached in {rounds} rounds", stacklevel=2)
+    return model | {"loglik": now, "n_iter": rounds, "converged": converged}
 
 
 def hmm_decode(rows: DataFrame, model: dict) -> DataFrame:

@@ -518,13 +518,13 @@ def _(spark, d):
 @query("hmm_decode")
 def _(spark, d):
     rows = _features(spark, d)
-    return gp.hmm_decode(rows, gp.hmm_fit(rows, 2, 11, n_iter=5))
+    return gp.hmm_decode(rows, gp.hmm_fit(rows, 2, 11))
 
 
 @query("hmm_score")
 def _(spark, d):
     rows = _features(spark, d)
-    return gp.hmm_score(rows, gp.hmm_fit(rows, 2, 11, n_iter=5))
+    return gp.hmm_score(rows, gp.hmm_fit(rows, 2, 11))
 
 
 @query("paired_nbs")

@@ -4,10 +4,12 @@ import pytest
 from gapweave.functions import kernels as kn
 from gapweave.operators import connectivity as cn
 from gapweave.operators import graphs as gr
+from gapweave.operators import grouped as gp
 from gapweave.operators import inference as nf
 from gapweave.operators import segments as sg
 from gapweave.operators import states as st
 from gapweave.operators import templates as tm
+from gapweave.plans.catalogue import QUERIES
 from gapweave.sources import panel as pn
 
 
@@ -154,6 +156,26 @@ def test_hmm_recovers_two_states():
     assert np.allclose(model["mean"], mu, atol=0.2)
 
 
+def test_hmm_fits_until_the_tolerance(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat([0.0, 1.0, 0.0, 1.0], 15)[:, None] * [1.5, -1.5] + rng.normal(size=(60, 2))  # overlapping states: slow
+    rows = spark.createDataFrame([("a", "F", 0, i, v.tolist()) for i, v in enumerate(x)], "subject string, session string, segment_id long, start_frame long, values array<double>")
+    model = gp.hmm_fit(rows, 2, 11)
+    assert model["converged"] and 5 < model["n_iter"] <= 200
+    assert abs(kn.statistics(x, model)["loglik"] - model["loglik"]) < 1e-2
+    with pytest.warns(UserWarning, match="not reached in 2 rounds"):
+        assert not gp.hmm_fit(rows, 2, 11, n_iter=2)["converged"]
+
+
+@pytest.mark.parametrize("name", ["hmm_decode", "hmm_score"])
+def test_hmm_queries_do_not_cut_the_fit(spark, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(gp, "hmm_fit", lambda *a, **how: asked.append(how))
+    monkeypatch.setattr(gp, name, lambda rows, model: rows)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked[0].get("n_iter", 200) == 200 and asked[0].get("tol", 1e-3) == 1e-3
+
+
 def test_oracles_agree_on_the_small_panel(spark):
     import duckdb
 
