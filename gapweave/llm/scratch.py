@@ -18,9 +18,11 @@ _OWN: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of long texts stay small; the workers can import this package."""
+    """Arrow batches of long texts stay small, long conditions compiled; the workers can import this package."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:  # the JVM does not compile larger methods
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

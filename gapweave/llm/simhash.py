@@ -41,38 +41,64 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
     return [at(joined[s : e - 1], seed) for s, e in zip(starts, ends[words - 1 :])]
 
 
+#: lanes of eight counters of one byte
+_LANES = np.uint64(0x0101010101010101)
+
+
+def fingerprints_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprint (uint64) of each run of so many hashes: a bit is 1 if set in over half of them; 0 for none.
+
+    A word of eight byte counters takes every eighth bit of up to 255 hashes at a time.
+    """
+    out = np.zeros((len(sizes), 8), np.uint8)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out.view("<u8")[:, 0]
+    n = sizes[full].astype(np.int64)
+    blocks = -(-n // 255)
+    block_of, first_block = np.repeat(np.arange(len(n)), blocks), np.cumsum(blocks) - blocks
+    starts = (np.cumsum(n) - n)[block_of] + 255 * (np.arange(blocks.sum()) - first_block[block_of])
+    for j in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(j)) & _LANES, starts)
+        ones = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first_block, axis=0)
+        out[full] |= (2 * ones > n[:, None]).astype(np.uint8) << np.uint8(j)
+    return out.view("<u8")[:, 0]
+
+
 def fingerprint(hashes: Sequence[int]) -> int:
     """A bit is 1 if it is set in over half the hashes; 0 for none."""
-    if not len(hashes):
-        return 0
-    h = np.asarray(hashes, "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), 8192):
-        ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return int(fingerprints_of(np.asarray(hashes, np.uint64), np.array([len(hashes)]))[0])
+
+
+def _wide(hashes: np.ndarray, sizes: np.ndarray, seeds: Sequence[int]) -> list[pa.Array]:
+    """A column of fingerprints for each seed; further ones come from the same hashes, mixed with another factor."""
+    out = []
+    for i, s in enumerate(seeds):
+        x = hashes
+        if i:
+            x = hashes * np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
+            x ^= x >> np.uint64(32)
+        out.append(pa.array(fingerprints_of(x, sizes).astype(np.uint64).view(np.int64)))
+    return out
+
 
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of some texts, and how many each has."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    return (np.concatenate([np.asarray(x, np.uint64) for x in lists]) if sizes.sum() else np.zeros(0, np.uint64)), sizes
 
-def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,), text: str = "text", keep: Sequence[str] = ("doc_id",), repeats: bool = True) -> DataFrame:
+
+def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,), text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns keep, and fp0, fp1, ... (long, the bits of the unsigned value), one for each seed.
 
-    Null and empty texts, and texts without a word, have the fingerprint 0. Without repeats
-    each shingle of a text counts once, as in the similarity of shingle sets.
+    Null and empty texts, and texts without a word, have the fingerprint 0. Repeated shingles count as often.
     """
     tune(docs.sparkSession)
     seeds = tuple(seeds)
-    salts = [np.uint64(s * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1) for s in seeds]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[] for _ in seeds]
-            for t in blobs(b.column(len(keep))):
-                h = np.array(shingle_hashes(t, words, seeds[0]), np.uint64)
-                h = h if repeats else np.unique(h)
-                for i in range(len(seeds)):
-                    # further fingerprints come from the same hashes, mixed with another factor
-                    x = h if not i else (h * salts[i]) ^ (h * salts[i] >> np.uint64(32))
-                    out[i].append(fingerprint(x))
-            cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out]
+            cols = _wide(*_flat([shingle_hashes(t, words, seeds[0]) for t in blobs(b.column(len(keep)))]), seeds)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *cols], names=[*keep, *(f"fp{i}" for i in range(len(seeds)))])
 
     kept = docs.select(*keep, text)
@@ -80,6 +106,45 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,),
     return kept.mapInArrow(work, schema)
 
 
+#: shingles of a text in the sample by which texts without a partner are told, at most
+SAMPLE = 128
+
+
+def sample_of(shingles: np.ndarray, similarity: float, deviations: float = 4.0) -> tuple[np.ndarray, int, int]:
+    """(sample, mask, need) of a set of hashes: those that end in so many zero bits that SAMPLE remain at most.
+
+    If another set is as similar as this, at least `need` of the sample's hashes with h & mask = 0
+    are in its sample: the sets' sizes are a factor of 1 / similarity apart, so their samples are
+    one bit apart at most, and mask takes that bit where it may be. Where all hashes are in,
+    need is exact; else so many standard deviations below the mean.
+    """
+    n = len(shingles)
+    level = max(0, int(np.ceil(np.log2(max(1, n) / SAMPLE))))
+    sample = shingles[shingles & np.uint64((1 << level) - 1) == 0]
+    deep = level + (n > similarity * SAMPLE * (1 << level))
+    mask = (1 << deep) - 1
+    k = int((sample & np.uint64(mask) == 0).sum())
+    least = similarity * k - (deviations * np.sqrt(similarity * (1 - similarity) * k) if deep else 0)
+    return sample, mask, max(0, int(np.ceil(least - 1e-9)))
+
+
+def set_prints(docs: DataFrame, words: int, seeds: Sequence[int], similarity: float) -> DataFrame:
+    """(doc_id, th, fp0, fp1, ..., sample, mask, need) of docs (doc_id, th, text): each shingle of a text counts once."""
+    tune(docs.sparkSession)
+    seeds = tuple(seeds)
+    kept = docs.select("doc_id", "th", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, words, seeds[0]), np.uint64)) for t in blobs(b.column(2))]
+            drawn = [sample_of(s, similarity) for s in sets]
+            more = [pa.array([s.view(np.int64) for s, _, _ in drawn], pa.list_(pa.int64())), pa.array([m for _, m, _ in drawn], pa.int64()), pa.array([n for _, _, n in drawn], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *_wide(*_flat(sets), seeds), *more], names=["doc_id", "th", *(f"fp{i}" for i in range(len(seeds))), "sample", "mask", "need"])
+
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    return kept.mapInArrow(work, ", ".join([f"doc_id {kind}, th long", *(f"fp{i} long" for i in range(len(seeds))), "sample array<long>, mask long, need long"]))
+
+
 def segments(most_bits: int) -> list[tuple[int, int]]:
     """(first bit, end) of the fewest segments of which one differs by one bit at most."""
     m = most_bits // 2 + 1
@@ -91,34 +156,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, most_bits: int, column: str = "fp0", apart: Sequence[str] = (), total: tuple[Sequence[str], int] | None = None) -> DataFrame:
+def links(distinct: DataFrame, most_bits: int, column: str = "fp0") -> DataFrame:
     """(u, v) for each two rows of distinct (node, column) whose fingerprints differ by most_bits or fewer.
 
     Nodes with equal fingerprints are linked as well. The variants are written first, so
-    that both sides of the join read one exchange. apart: a column whose values must differ;
-    they come as cu and cv. total (columns, bits): most_bits sets the segments only, and a
-    pair is linked if one segment differs by a bit at most and the columns together by so many.
+    that both sides of the join read one exchange.
     """
-    verify = (column,) if total is None else tuple(total[0])
-    limit = most_bits if total is None else total[1]
     segs = segments(most_bits)
-    variants = []
-    for lo, hi in segs:
-        for p in range(lo, hi):
-            mask = ((1 << hi) - (1 << lo)) & ~(1 << p)
-            part = F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(mask))), lo)
-            variants.append(F.shiftleft(part, 6).bitwiseOR(F.lit(p)))
-    rows = written(distinct.select(*dict.fromkeys(["node", column, *verify, *apart]), F.explode(F.array(*variants)).alias("key")), "variants")
-    x = f"(a.{column} ^ b.{column})"
-    first = []
-    for i, (lo, hi) in enumerate(segs):
-        mask = _signed((1 << hi) - (1 << lo))
-        unlike = " and ".join([f"bit_count({x} & {_signed((1 << h) - (1 << l))}L) > 1" for l, h in segs[:i]] or ["true"])
-        p = "cast(a.key & 63 as int)"
-        first.append(f"({p} >= {lo} and {p} < {hi} and {unlike} and ((shiftright({x}, {p}) & 1) = 1 or ({p} = {lo} and ({x} & {mask}L) = 0)))")
-    bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in verify)
-    on = f"a.key = b.key and a.node < b.node and {bits} <= {int(limit)} and ({' or '.join(first)})" + "".join(f" and a.{x} <> b.{x}" for x in apart)
-    out = rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), *(F.col(f"{side}.{x}").alias(f"c{to}") for x in apart for side, to in (("a", "u"), ("b", "v"))))
+    rows = written(_segment_rows(distinct.select(*dict.fromkeys(["node", column])), column, segs), "variants")
+    on = f"a.key = b.key and a.node < b.node and bit_count(a.{column} ^ b.{column}) <= {int(most_bits)} and {_first_variant(column, segs, [])}"
+    out = rows.alias("a").join(rows.alias("b"), F.expr(on)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     out._gapweave_path = rows._gapweave_path  # drop() of the links removes the variants
     return out
 
@@ -169,91 +216,103 @@ def _first_variant(column: str, segs: Sequence[tuple[int, int]], earlier: Sequen
     return f"({' or '.join(first)}){unlike(earlier)}"
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 7, screened: int = 5, most_bits: int = 7, slack: float = 6.0, margin: float = 8.0, centres: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 7, most_bits: int = 7, slack: float = 2.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of 0.8 or more.
 
     th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
     of shingle sets makes an angle of acos(2J / (1+J)) and 64 * angle / pi differing bits a
-    fingerprint in the mean (9.7 at J = 0.8). The first fingerprints (indexed) are cut into
-    segments as for most_bits. A pair with a segment that differs by a bit at most (28 of
-    16 bits: all but 1e-4 of the pairs at J = 0.8) is a candidate. Bits only drop pairs far
-    from the threshold: those slack standard deviations above the mean in the first
-    fingerprints (screened), or margin above it in all of them (1024 bits). Every other
-    pair, however alike its bits, is a link only if the shingle sets have the similarity.
-
-    Stars come first: each key's nodes meet a few of its nodes only (centres) and each node
-    keeps its nearest, so that a large group of near copies is one class before pairs are
-    made; pairs within a class are not made. Two segments are a join of their own, which
-    bounds the disk that their variants take.
-    keeper is true for one (doc_id, th) of each class, the smallest, a null before all.
-    Texts without a word are one another's copies.
+    fingerprint at most in the mean (9.7 at J = 0.8). A node is a distinct row of fingerprints.
+
+    Nodes go on only if the share of their shingles that stand in other nodes too allows a
+    similar one (sample_of). The first fingerprints (indexed) are cut into segments as for
+    most_bits; two nodes with a segment that differs by a bit at most (28 of 16 bits: all but
+    1e-4 of the pairs at J = 0.8) are a candidate pair if all fingerprints together (1024 bits)
+    differ by at most slack standard deviations more than the mean at J (which keeps 0.994 of
+    the pairs at J = 0.8 and all but a few of the nearer ones). Every candidate is then
+    decided by its shingle sets.
+
+    Stars come first: the nodes of a key meet one of them, and each node keeps its nearest, so
+    that a large group of near copies is one class after some rounds (a round for each
+    fingerprint, or until one joins fewer than a node in 200, as pairs then cost less). Pairs
+    are made between classes only. A round or pass takes the variants of one or two fingerprints, which bounds
+    the disk that they take. keeper is true for one (doc_id, th) of each class, the smallest,
+    a null before all. Texts without a word are one another's copies.
     """
     spark = docs.sparkSession
     cols = [f"fp{i}" for i in range(len(seeds))]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    prints = fingerprints(docs, words, seeds, keep=("doc_id", "th"), repeats=False)
-    prints = written(prints.groupBy("doc_id", "th").agg(*(F.min(c).alias(c) for c in cols), F.count("*").alias("rows")).withColumn("node", F.xxhash64(*cols)), "prints")
-    whole = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in cols)), "whole")
-    nodes = whole.select("node", *cols[: max(indexed, screened)], F.col("node").alias("component"))
-
-    def most(columns: Sequence[str], deviations: float) -> str:
-        """Condition that a pair's bits in these columns are at most so many standard deviations above the mean."""
-        n = BITS * len(columns)
-        mean = expected_bits(similarity, n)
-        return " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in columns) + f" <= {int(mean + deviations * math.sqrt(mean * (1 - mean / n)))}"
-
-    near = most(cols[:screened], slack)
+    made = written(set_prints(docs, words, seeds, similarity).withColumn("node", F.xxhash64(*cols)), "made")
+    prints = written(made.groupBy("doc_id", "th").agg(F.min("node").alias("node"), F.count("*").alias("rows")), "prints")
+    # rows of a node have equal fingerprints; their samples are equal but for sets that 1024 bits do not part
+    whole = made.select("node", *cols, "sample", "mask", "need").dropDuplicates(["node"])
+    whole = written(whole, "whole")
+    drop(made)
+    nodes = written(_with_shared(whole).select("node", *cols, F.col("node").alias("component")), "nodes")
+    release(spark)
+
+    mean, n = expected_bits(similarity, BITS * len(cols)), BITS * len(cols)
+    limit = int(mean + slack * math.sqrt(mean * (1 - mean / n)))
     bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols)
+    apart = f"a.component <> b.component and {bits} <= {limit}"
+    ends = [F.col(f"{side}.{x}").alias(to) for side, x, to in (("a", "node", "u"), ("b", "node", "v"), ("a", "component", "cu"), ("b", "component", "cv"))]
     segs = segments(most_bits)
-    done: list[tuple[str, int, int]] = []  # segments whose pairs have been made
-
-    def candidates(nodes: DataFrame, at: int, some: Sequence[tuple[int, int]], star: bool) -> DataFrame:
-        """(u, v, bits) of pairs between classes that meet in these segments of a column."""
-        column = cols[at]
-        carried = cols[: max(screened, at + 1)]
-        rows = _segment_rows(nodes.select("node", *carried, "component"), column, some)
-        if star:
-            least = rows.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(n)).alias("turn"), "node", *carried, "component")) for n in range(centres))).alias("least"))
-            least = least.select("key", F.explode(F.array_distinct("least")).alias("least")).select("key", "least.*")
-            met = rows.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and a.component <> b.component and {near}"))
-        else:
-            met = rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and a.component <> b.component and {near} and {_first_variant(column, some, done)}"))
-            done.extend((column, lo, hi) for lo, hi in some)
-        met = met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        if star:
-            met = met.distinct()
-        pairs = met.join(whole.withColumnRenamed("node", "u").alias("a"), "u").join(whole.withColumnRenamed("node", "v").alias("b"), "v")
-        out = pairs.filter(most(cols, margin)).select("u", "v", F.expr(bits).alias("bits"))
-        if star:
-            out = out.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x")).select("u", "x.v", "x.bits")
-        out = written(out, "met")
-        release(spark)
-        return out
-
-    def joined(nodes: DataFrame, pairs: list[DataFrame]) -> DataFrame:
-        """nodes with the classes joined of those pairs whose shingle sets are alike."""
-        of = nodes.select("node", "component")
-        apart = _all(pairs).select("u", "v").distinct().join(of.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(of.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
-        apart = written(apart.filter("cu <> cv"), "open")
-        found = written(_alike(docs, prints, apart, words, similarity, seeds[0]).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike")
+
+    def stars(nodes: DataFrame, at: int) -> DataFrame:
+        """(u, v, cu, cv): of each node the nearest centre of another class, in one fingerprint's segments."""
+        rows = _segment_rows(nodes, cols[at], segs)
+        turn = F.lit(_signed((at + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))  # another least node each round
+        centres = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("node"), F.count("*").alias("n"))
+        centres = centres.filter("n > 1").select("key", "node").join(nodes, "node")
+        met = rows.alias("a").join(centres.alias("b"), F.expr(f"a.key = b.key and {apart}")).select(*ends, F.expr(bits).alias("bits"))
+        return met.groupBy("u").agg(F.min(F.struct("bits", "v", "cu", "cv")).alias("x")).select("u", "x.v", "x.cu", "x.cv")
+
+    def pairs(nodes: DataFrame, columns: Sequence[int]) -> DataFrame:
+        """(u, v, cu, cv): pairs of nodes of different classes that meet in these fingerprints, and in none before."""
+        parts = []
+        for at in columns:
+            rows = _segment_rows(nodes, cols[at], segs)
+            before = [(cols[c], lo, hi) for c in range(at) for lo, hi in segs]
+            parts.append(rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and {apart} and {_first_variant(cols[at], segs, before)}")).select(*ends))
+        return _all(parts)
+
+    def joined(nodes: DataFrame, met: DataFrame) -> tuple[DataFrame, int]:
+        """nodes with the classes joined of those pairs whose shingle sets are alike, and how many pairs of classes were."""
+        alike = _alike(docs, prints, met, words, similarity, seeds[0])
+        found = written(alike.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike")
         release(spark)
-        if not found.limit(1).count():
-            return nodes
+        n_found = found.count()
+        if not n_found:
+            return nodes, 0
         parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
         out = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
+        drop(nodes)
+        release(spark)
+        return out, n_found
+
+    n_nodes = nodes.count()
+    for at in range(indexed):
+        nodes, n_found = joined(nodes, written(stars(nodes, at), "stars"))
+        if 200 * n_found <= n_nodes:
+            break
+    met = []
+    for at in range(0, indexed, 2):
+        met.append(written(pairs(nodes, range(at, min(at + 2, indexed))), "met"))
         release(spark)
-        return out
-
-    halves = [segs[i : i + 2] for i in range(0, len(segs), 2)]
-    nodes = joined(nodes, [candidates(nodes, 0, some, True) for some in halves])
-    nodes = joined(nodes, [candidates(nodes, 0, halves[0], False)])
-    rest = [(0, some) for some in halves[1:]] + [(at, some) for at in range(1, indexed) for some in halves]
-    nodes = joined(nodes, [candidates(nodes, at, some, False) for at, some in rest])
-    named = written(prints.select("doc_id", "th", "rows", "node").join(nodes.select("node", "component"), "node").drop("node"), "classes")
+    nodes, _ = joined(nodes, _all(met))
+    named = prints.join(nodes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named.select("doc_id", "th", "rows", "component"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))
 
 
+def _with_shared(whole: DataFrame) -> DataFrame:
+    """Those nodes (node, sample, mask, need) of which enough shingles of the sample are in another node's sample."""
+    seen = whole.select("node", "mask", F.explode("sample").alias("h"))
+    shared = seen.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
+    often = seen.filter("h & mask = 0").select("node", "h").join(shared, "h", "left_semi").groupBy("node").agg(F.count("*").alias("often"))
+    return whole.join(often, "node", "left").filter("coalesce(often, 0L) >= need and size(sample) > 0")
+
+
 def _all(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
