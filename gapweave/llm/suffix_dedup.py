@@ -13,6 +13,12 @@ first on a tie. Equal strings have equal anchors at equal places. The starts of
 into runs of equal anchor; a run's stretch (its starts and L - 1 bytes more) goes to the
 collection of its anchor's hash. Equal stretches are folded with their number before
 they are shuffled, so copies of any number cost one stretch.
+
+A collection that one transform would not hold (an anchor in boilerplate) is parted: its
+members share the bytes of the anchor, and each string of L bytes that covers them holds
+half of the L - k others on the left or on the right of it. Starts part by that side and by
+those bytes; equal strings stay together, the shared part doubles, parts that have become
+equal are folded again, and after some rounds (log2 L at most) every part fits or is one string.
 """
 
 from __future__ import annotations
@@ -61,10 +67,10 @@ def _anchors(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of each run of starts of equal anchor: text, first start, number of starts, anchor hash."""
+    """Of each run of starts of equal anchor: text, first start, number of starts, anchor hash, the anchor's place after the first start."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum([0, *map(len, texts)])
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
     if len(data) < length:
         return none
     at = np.arange(len(data) - k + 1)
@@ -77,7 +83,7 @@ def stretches(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]
     if not len(starts):
         return none
     first = np.flatnonzero(np.diff(least, prepend=-1) | np.diff(of, prepend=-1))
-    return of[first], starts[first] - begins[of[first]], np.diff(first, append=len(starts)), h[least[first]]
+    return of[first], starts[first] - begins[of[first]], np.diff(first, append=len(starts)), h[least[first]], least[first] - starts[first]
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -93,6 +99,8 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 #: entries of one transform at most: rank, later rank and position share a sort key of 63 bits
 MOST_ENTRIES = 1 << 21
+#: entries of several collections that one task holds together, and from which one collection is parted
+FULL = 1 << 20
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -226,30 +234,30 @@ def repeated_starts(regions: list[bytes], starts: np.ndarray, weights: np.ndarra
 
 
 def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, th, n_bytes, whole, runs of (h, r, s0, n)) of each row: its stretches, with a digest r of each."""
+    """(doc_id, th, n_bytes, whole, runs of (h, r, s0, n, a)) of each row: its stretches, with a digest r of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run = pa.struct([("h", pa.int64()), ("r", pa.int64()), ("s0", pa.int32()), ("n", pa.int32())])
+    run = pa.struct([("h", pa.int64()), ("r", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("a", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = blobs(b.column(2))
             for s, e in _pieces(texts):
-                of, s0, n, h = stretches(texts[s:e], length, k)
+                of, s0, n, h, a = stretches(texts[s:e], length, k)
                 r = np.array(
                     [int.from_bytes(hashlib.blake2b(texts[s + d][x : x + y + length - 1], digest_size=8).digest(), "little", signed=True) for d, x, y in zip(of.tolist(), s0.tolist(), n.tolist())],
                     np.int64,
                 )
                 cut = np.searchsorted(of, np.arange(e - s + 1)).astype(np.int32)
-                rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(r), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32))], fields=list(run))
+                rows = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(r), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32))], fields=list(run))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), pa.array([len(t) for t in texts[s:e]], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts[s:e]]), pa.ListArray.from_arrays(pa.array(cut), rows)],
                     names=["doc_id", "th", "n_bytes", "whole", "runs"],
                 )
 
-    return docs.mapInArrow(work, f"doc_id {kind}, th long, n_bytes long, whole string, runs array<struct<h: long, r: long, s0: int, n: int>>")
+    return docs.mapInArrow(work, f"doc_id {kind}, th long, n_bytes long, whole string, runs array<struct<h: long, r: long, s0: int, n: int, a: int>>")
 
 
-def _decided(regions: DataFrame, length: int) -> DataFrame:
+def _decided(regions: DataFrame, length: int, full: int) -> DataFrame:
     """(h, r, flags of runs (lo, hi)) of regions (h, r, w, n, bytes), whole collections in a task, several to a transform."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +283,7 @@ def _decided(regions: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if group and row[0] != group[0][0]:
-                    if total + group_size > MOST_ENTRIES - 8 and held:
+                    if total + group_size > full and held:
                         yield solve(held)
                         held, total = [], 0
                     held.extend(group)
@@ -283,7 +291,7 @@ def _decided(regions: DataFrame, length: int) -> DataFrame:
                     group, group_size = [], 0
                 group.append(row)
                 group_size += len(row[4]) + 1
-        if total + group_size > MOST_ENTRIES - 8 and held:
+        if total + group_size > full and held:
             yield solve(held)
             held = []
         held.extend(group)
@@ -293,20 +301,53 @@ def _decided(regions: DataFrame, length: int) -> DataFrame:
     return regions.select("h", "r", "w", "n", "bytes").mapInArrow(work, "h long, r long, runs array<struct<lo: int, hi: int>>")
 
 
-def _decided_apart(regions: DataFrame, length: int) -> DataFrame:
-    """As _decided, for collections too large for a task: strings are compared one start at a time, by 128 bits."""
-    one = regions.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("x", F.md5(F.substring("bytes", F.col("o") + 1, F.lit(length))))
-    often = one.groupBy("h", "x").agg(F.sum("w").alias("total")).filter("total >= 2").select("h", "x")
-    return one.join(often, ["h", "x"]).groupBy("h", "r").agg(F.sort_array(F.collect_list(F.struct(F.col("o").alias("lo"), (F.col("o") + 1).alias("hi")))).alias("runs"))
+def _entries(length: int) -> F.Column:
+    """Entries of a collection (group of regions) in a transform: bytes and a separator each."""
+    return F.sum((F.col("n") + length).cast("long"))
+
 
+def _parted(regions: DataFrame, length: int, k: int, full: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Collections over full entries, parted until they fit.
 
-def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, most_regions: int = 3000, most_ids: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    regions: (h, r, w, n, a, bytes), a the anchor's place. Returns regions (h, r, w, n, bytes) to be
+    decided, and tables (h, r, off, h1, r1): from start off of region (h, r) on lies region (h1, r1).
+    All members of a part share the bytes from lo to hi, counted from the anchor.
+    """
+    small, places = [], []
+    now = regions.withColumns({"lo": F.lit(0), "hi": F.lit(k), "one": F.lit(False)})
+    while True:
+        now = written(now, "parts")
+        size = now.groupBy("h").agg(_entries(length).alias("size"), F.first("one").alias("one"))
+        large = written(size.filter((F.col("size") > full) & ~F.col("one")).select("h"), "large")
+        small.append(now.join(large, "h", "left_anti").select("h", "r", "w", "n", "bytes"))
+        if not large.limit(1).count():
+            return small, places
+        free = F.lit(length) - F.col("hi") + F.col("lo")
+        middle = F.ceil(free / 2).cast("int") - F.col("lo")  # starts as far or farther before the anchor go left
+        cut = F.greatest(F.lit(0), F.least(F.col("n"), F.col("a") - F.col("middle") + 1))
+        both = now.join(large, "h").withColumn("free", free).withColumn("middle", middle).withColumn("cut", cut)
+        side = F.explode(F.array(
+            F.struct(F.lit(0).alias("off"), F.col("cut").alias("n1"), (-F.col("middle")).alias("lo1"), F.col("hi").alias("hi1")),
+            F.struct(F.col("cut").alias("off"), (F.col("n") - F.col("cut")).alias("n1"), F.col("lo").alias("lo1"), (F.col("hi") + F.floor(F.col("free") / 2).cast("int") + 1).alias("hi1")),
+        ))
+        parts = both.withColumn("side", side).select("h", "r", "w", "a", "bytes", "lo", "side.*").filter("n1 > 0")
+        shared = F.substring("bytes", F.col("a") + F.col("lo1") + 1, F.col("hi1") - F.col("lo1"))
+        own = F.substring("bytes", F.col("off") + 1, F.col("n1") + (length - 1))
+        # a part whose shared bytes are all of its strings holds one string only
+        parts = parts.select("h", "r", "off", "w", F.xxhash64("h", F.col("lo1") < F.col("lo"), F.md5(shared)).alias("h1"), own.alias("bytes"), F.col("n1").alias("n"), (F.col("a") - F.col("off")).alias("a"), F.col("lo1").alias("lo"), F.col("hi1").alias("hi"))
+        parts = written(parts.withColumn("r1", F.xxhash64(F.md5("bytes"), "a")), "sides")
+        places.append(parts.select("h", "r", "off", "h1", "r1"))
+        now = parts.groupBy(F.col("h1").alias("h"), F.col("r1").alias("r")).agg(F.sum("w").alias("w"), *(F.first(c).alias(c) for c in ("n", "a", "bytes", "lo", "hi")))
+        now = now.withColumn("one", F.col("hi") - F.col("lo") >= length)
+
+
+def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, full: int = FULL, most_ids: int = 1_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (long), kept_sha256, spans (array of (lo, hi), in bytes) of every row.
 
     A null text is empty; texts shorter than length lose nothing. Repeated rows count as
-    often as they stand there, so each loses what the others hold. most_regions: distinct
-    stretches of a collection that one task takes; larger collections are decided by
-    _decided_apart. most_ids: rows up to which the ids of the documents whose text is needed
+    often as they stand there, so each loses what the others hold. Texts longer than a block
+    of anchors (32 MiB) are read whole like any other. full: entries of a transform beyond
+    which a collection is parted. most_ids: rows up to which the ids of the documents whose text is needed
     again are broadcast before texts are shuffled; beyond it texts are joined without that.
     """
     spark = docs.sparkSession
@@ -316,9 +357,9 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, most_region
     rows = written(_anchored(docs, length, k), "stretches")
     found = rows.select("doc_id", "th", F.explode("runs").alias("x")).select("doc_id", "th", "x.*")
     # any one place of a stretch stands for all; first() of a row's columns keeps them together
-    distinct = found.groupBy("h", "r").agg(F.count("*").alias("w"), F.first("n").alias("n"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("s0").alias("s0"))
-    anchors = distinct.groupBy("h").agg(F.sum("w").alias("total"), F.count("*").alias("m")).filter("total >= 2")
-    heavy = written(distinct.join(anchors, "h").select("h", "r", "w", "n", "m", "doc_id", "th", "s0"), "heavy")
+    distinct = found.groupBy("h", "r").agg(F.count("*").alias("w"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("s0").alias("s0"))
+    anchors = distinct.groupBy("h").agg(F.sum("w").alias("total"), F.count("*").alias("m"), _entries(length).alias("size")).filter("total >= 2")
+    heavy = written(distinct.join(anchors, "h").select("h", "r", "w", "n", "a", "m", "size", "doc_id", "th", "s0"), "heavy")
 
     def needed(ids: DataFrame) -> DataFrame:
         """docs, at least those of ids."""
@@ -333,13 +374,21 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 80, most_region
     several = heavy.filter("m > 1")
     texts = needed(several).withColumnsRenamed({"doc_id": "i", "th": "t"})
     several = several.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
-    several = several.select("h", "r", F.col("w").cast("long").alias("w"), "n", "m", F.substring("text", F.col("s0") + 1, F.col("n") + (length - 1)).alias("bytes"))
+    several = several.select("h", "r", F.col("w").cast("long").alias("w"), "n", "a", "size", F.substring("text", F.col("s0") + 1, F.col("n") + (length - 1)).alias("bytes"))
     # a text that stands in repeated rows has given its stretches as often
-    small = several.filter(F.col("m") <= most_regions).repartition("h").dropDuplicates(["h", "r"]).sortWithinPartitions("h")
-    decided = _decided(small, length)
-    if heavy.filter(F.col("m") > most_regions).limit(1).count():
-        decided = decided.unionByName(_decided_apart(several.filter(F.col("m") > most_regions).dropDuplicates(["h", "r"]), length))
-    decided = written(alone.unionByName(decided).filter(F.size("runs") > 0), "decided")
+    regions = several.filter(F.col("size") <= full).select("h", "r", "w", "n", "bytes").dropDuplicates(["h", "r"])
+    places = []
+    if heavy.filter((F.col("m") > 1) & (F.col("size") > full)).limit(1).count():
+        hot, places = _parted(several.filter(F.col("size") > full).drop("size").dropDuplicates(["h", "r"]), length, k, full)
+        for x in hot:
+            regions = regions.unionByName(x)
+    decided = _decided(regions.repartition("h").sortWithinPartitions("h"), length, full)
+    decided = written(decided.filter(F.size("runs") > 0), "decided")
+    for at in reversed(places):  # what was decided of the parts belongs to the regions that they lie in
+        part = at.join(decided.select(F.col("h").alias("h1"), F.col("r").alias("r1"), "runs"), ["h1", "r1"])
+        part = part.select("h", "r", F.transform("runs", lambda x: F.struct((x["lo"] + F.col("off")).alias("lo"), (x["hi"] + F.col("off")).alias("hi"))).alias("runs"))
+        decided = decided.unionByName(part.groupBy("h", "r").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs")))
+    decided = written(alone.unionByName(decided), "flags")
     cover = found.join(decided, ["h", "r"]).select("doc_id", "th", "s0", F.explode("runs").alias("x"))
     cover = cover.select("doc_id", "th", F.struct((F.col("s0") + F.col("x.lo")).alias("lo"), (F.col("s0") + F.col("x.hi") + (length - 1)).alias("hi")).alias("x"))
     cover = written(cover.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("x")).alias("cover")), "cover")

@@ -157,10 +157,7 @@ def test_repeats_equal_brute_force():
         assert suffix_dedup.repeated_starts(regions, starts, weight, size).tolist() == want
 
 
-@pytest.mark.parametrize("how", [{}, {"most_regions": 1, "most_ids": 1}])
-def test_without_repeats(spark, odd, how):
-    length, k = 60, 12
-    rows = [(r.doc_id, (r.text or "").encode()) for r in odd.collect()]
+def removed_by_brute_force(rows, length):
     count = {}
     for _, t in rows:
         for i in range(len(t) - length + 1):
@@ -173,8 +170,39 @@ def test_without_repeats(spark, odd, how):
                 gone[i : i + length] = True
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want.append((d, len(t), len(t) - len(kept), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.without_repeats(odd, length, k, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    return want
+
+
+def removed(docs, *args, **how):
+    return [tuple(r) for r in suffix_dedup.without_repeats(docs, *args, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+
+
+@pytest.mark.parametrize("how", [{}, {"full": 150, "most_ids": 1}])
+def test_without_repeats(spark, odd, how):
+    rng = random.Random(31)
+    line = words(rng, 12)[:50]  # shorter than a repeat; some contexts make it one, on either side
+    ends = [words(rng, 9) for _ in range(4)]
+    boiler = [(500 + i, rng.choice(ends)[rng.randint(0, 30) :] + line + rng.choice(ends)[: rng.randint(0, 30)] + words(rng, 6)) for i in range(60)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(boiler, "doc_id long, text string"))
+    want = removed_by_brute_force([(r.doc_id, (r.text or "").encode()) for r in docs.collect()], 60)
+    assert sum(w[2] > 0 for w in want[-60:]) > 20
+    assert sorted(map(repr, removed(docs, 60, 12, **how))) == sorted(map(repr, want))
+
+
+def test_a_collection_larger_than_a_transform(spark):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    lines = letters[rng.integers(0, 26, (20_000, 80))]
+    at = np.arange(20_000) * 80
+    data = lines.ravel()
+    least = int(np.argmin(suffix_dedup.range_hash(suffix_dedup.prefix_hash(data), at, at + 80, suffix_dedup.inverse_powers(len(data) + 1))))
+    line = lines[least].tobytes().decode()  # an anchor of most strings that hold it, so stretches have 720 bytes
+    texts = [letters[rng.integers(0, 26, 700)].tobytes().decode() for _ in range(3000)]
+    texts = [t[:350] + line + t[350:] for t in texts]
+    texts += [texts[5][:700], "x" + texts[6][200:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[2] for r in removed(docs)}
+    assert {i: n for i, n in got.items() if n} == {5: 700, 6: 580, 3000: 700, 3001: 580}
 
 
 def test_equal_strings_have_equal_anchors_beyond_the_place_width(monkeypatch):
@@ -183,7 +211,8 @@ def test_equal_strings_have_equal_anchors_beyond_the_place_width(monkeypatch):
     texts = [rng.randbytes(300) + passage + rng.randbytes(4500) + passage + rng.randbytes(70), rng.randbytes(90) + passage]
     monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 9)
     anchors, starts = {}, set()
-    for d, s0, n, h in zip(*(x.tolist() for x in suffix_dedup.stretches(texts, 50, 10))):
+    for d, s0, n, h, a in zip(*(x.tolist() for x in suffix_dedup.stretches(texts, 50, 10))):
+        assert 0 <= s0 + a <= len(texts[d]) - 10
         for i in range(s0, s0 + n):
             starts.add((d, i))
             anchors.setdefault(texts[d][i : i + 50], set()).add(h)
