@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: paths of the tables that written() has made
+MADE: list[str] = []
 
 
 def tune(spark: SparkSession) -> None:
@@ -35,6 +37,8 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if not found:
         if app not in _OWN:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gapweave-")
         found = _OWN[app]
     if "://" not in found and not found.startswith("file:"):
@@ -53,6 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gapweave_path = path
+    MADE.append(path)
     return out
 
 

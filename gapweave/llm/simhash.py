@@ -107,10 +107,10 @@ def fingerprints(docs: DataFrame, words: int = 4, seeds: Sequence[int] = (42,),
 
 
 #: shingles of a text in the sample by which texts without a partner are told, at most
-SAMPLE = 128
+SAMPLE = 64
 
 
-def sample_of(shingles: np.ndarray, similarity: float, deviations: float = 4.0) -> tuple[np.ndarray, int, int]:
+def sample_of(shingles: np.ndarray, similarity: float, deviations: float = 3.5) -> tuple[np.ndarray, int, int]:
     """(sample, mask, need) of a set of hashes: those that end in so many zero bits that SAMPLE remain at most.
 
     If another set is as similar as this, at least `need` of the sample's hashes with h & mask = 0
@@ -216,7 +216,7 @@ def _first_variant(column: str, segs: Sequence[tuple[int, int]], earlier: Sequen
     return f"({' or '.join(first)}){unlike(earlier)}"
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 7, most_bits: int = 7, slack: float = 2.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seeds: Sequence[int] = tuple(range(42, 58)), indexed: int = 7, most_bits: int = 7, slack: float = 2.5, rounds: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, th, rows, component, keeper: near-duplicate classes at a shingle similarity of 0.8 or more.
 
     th is xxhash64 of the text; rows counts the rows of equal doc_id and th. A similarity J
@@ -232,9 +232,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
     decided by its shingle sets.
 
     Stars come first: the nodes of a key meet one of them, and each node keeps its nearest, so
-    that a large group of near copies is one class after some rounds (a round for each
-    fingerprint, or until one joins fewer than a node in 200, as pairs then cost less). Pairs
-    are made between classes only. A round or pass takes the variants of one or two fingerprints, which bounds
+    that a large group of near copies is a few classes after some rounds. A pass over one
+    fingerprint then joins what is a standard deviation nearer than the mean at J, so that
+    the last pass, over all of them, finds few pairs that are links. Pairs are made between
+    classes only. A round or pass takes the variants of one or two fingerprints, which bounds
     the disk that they take. keeper is true for one (doc_id, th) of each class, the smallest,
     a null before all. Texts without a word are one another's copies.
     """
@@ -248,57 +249,66 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
     whole = written(whole, "whole")
     drop(made)
     nodes = written(_with_shared(whole).select("node", *cols, F.col("node").alias("component")), "nodes")
+    drop(whole)
     release(spark)
 
-    mean, n = expected_bits(similarity, BITS * len(cols)), BITS * len(cols)
-    limit = int(mean + slack * math.sqrt(mean * (1 - mean / n)))
-    bits = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in cols)
-    apart = f"a.component <> b.component and {bits} <= {limit}"
+    def unlike(columns: Sequence[str]) -> str:
+        return " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in columns)
+
+    def apart(columns: Sequence[str], slack: float = slack) -> str:
+        """Two classes, and as few differing bits in these columns as the similarity allows."""
+        n = BITS * len(columns)
+        mean = expected_bits(similarity, n)
+        return f"a.component <> b.component and {unlike(columns)} <= {int(mean + slack * math.sqrt(mean * (1 - mean / n)))}"
+
     ends = [F.col(f"{side}.{x}").alias(to) for side, x, to in (("a", "node", "u"), ("b", "node", "v"), ("a", "component", "cu"), ("b", "component", "cv"))]
     segs = segments(most_bits)
 
     def stars(nodes: DataFrame, at: int) -> DataFrame:
         """(u, v, cu, cv): of each node the nearest centre of another class, in one fingerprint's segments."""
+        some = [*cols[:4], cols[at]] if at >= 4 else cols[:4]  # enough to tell a near centre
+        nodes = nodes.select("node", *some, "component")
         rows = _segment_rows(nodes, cols[at], segs)
         turn = F.lit(_signed((at + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))  # another least node each round
         centres = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("node"), F.count("*").alias("n"))
         centres = centres.filter("n > 1").select("key", "node").join(nodes, "node")
-        met = rows.alias("a").join(centres.alias("b"), F.expr(f"a.key = b.key and {apart}")).select(*ends, F.expr(bits).alias("bits"))
+        met = rows.alias("a").join(centres.alias("b"), F.expr(f"a.key = b.key and {apart(some)}")).select(*ends, F.expr(unlike(some)).alias("bits"))
         return met.groupBy("u").agg(F.min(F.struct("bits", "v", "cu", "cv")).alias("x")).select("u", "x.v", "x.cu", "x.cv")
 
-    def pairs(nodes: DataFrame, columns: Sequence[int]) -> DataFrame:
+    def pairs(nodes: DataFrame, columns: Sequence[int], slack: float = slack) -> DataFrame:
         """(u, v, cu, cv): pairs of nodes of different classes that meet in these fingerprints, and in none before."""
         parts = []
         for at in columns:
             rows = _segment_rows(nodes, cols[at], segs)
             before = [(cols[c], lo, hi) for c in range(at) for lo, hi in segs]
-            parts.append(rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and {apart} and {_first_variant(cols[at], segs, before)}")).select(*ends))
+            parts.append(rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and {apart(cols, slack)} and {_first_variant(cols[at], segs, before)}")).select(*ends))
         return _all(parts)
 
-    def joined(nodes: DataFrame, met: DataFrame) -> tuple[DataFrame, int]:
-        """nodes with the classes joined of those pairs whose shingle sets are alike, and how many pairs of classes were."""
+    def joined(nodes: DataFrame, met: DataFrame) -> DataFrame:
+        """nodes with the classes joined of those pairs whose shingle sets are alike."""
         alike = _alike(docs, prints, met, words, similarity, seeds[0])
         found = written(alike.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike")
         release(spark)
-        n_found = found.count()
-        if not n_found:
-            return nodes, 0
+        if not found.limit(1).count():
+            return nodes
         parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
         out = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
         drop(nodes)
         release(spark)
-        return out, n_found
+        return out
 
-    n_nodes = nodes.count()
-    for at in range(indexed):
-        nodes, n_found = joined(nodes, written(stars(nodes, at), "stars"))
-        if 200 * n_found <= n_nodes:
-            break
+    for at in range(rounds):
+        near = written(stars(nodes, at), "stars")
+        release(spark)
+        nodes = joined(nodes, near)
+    near = written(pairs(nodes, [0], -1.0), "near")
+    release(spark)
+    nodes = joined(nodes, near)
     met = []
     for at in range(0, indexed, 2):
         met.append(written(pairs(nodes, range(at, min(at + 2, indexed))), "met"))
         release(spark)
-    nodes, _ = joined(nodes, _all(met))
+    nodes = joined(nodes, _all(met))
     named = prints.join(nodes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named.select("doc_id", "th", "rows", "component"), "classes")
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
@@ -320,10 +330,12 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int, most_ids: int = 1_000_000) -> DataFrame:
+def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int, most_ids: int = 1_000_000, most_shingles: int = 8_000_000) -> DataFrame:
     """Those pairs (u, v, ...) whose shingle sets have the similarity or more; one text is read for each node.
 
-    most_ids: nodes up to which their documents' ids are broadcast, so that texts are not shuffled.
+    most_ids: nodes up to which their documents' ids are broadcast, so that texts are not
+    shuffled. most_shingles: shingles of all these nodes up to which the sets are broadcast
+    (8 bytes each); more are joined by their nodes, with the same result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +349,11 @@ def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, sim
     one = F.broadcast(one) if one.count() <= most_ids else one
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
     sets = written(texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    few = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= most_shingles
+    both = pairs
+    for end, own in (("u", "x"), ("v", "y")):
+        side = sets.select(F.col("node").alias(end), F.col("shingles").alias(own))
+        both = both.join(F.broadcast(side) if few else side, end)
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(*pairs.columns)
 
