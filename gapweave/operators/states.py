@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from itertools import permutations
 
 from pyspark.sql import DataFrame, Window
@@ -120,7 +119,6 @@ def subject_folds(subjects: DataFrame, n_folds: int, seed: int) -> DataFrame:
 
     Ranking is over distinct subjects, one row each; it uses one partition.
     """
-    text = F.concat(F.lit('{"seed":' + json.dumps(seed) + ',"subject":'), F.to_json(F.struct(F.col("subject").alias("s"))))
     text = F.concat(F.lit('{"seed":' + str(seed) + ',"subject":"'), F.regexp_replace("subject", r'(["\\])', r"\\$1"), F.lit('"}'))
     ranked = subjects.select("subject").distinct().withColumn("sha", F.sha2(text, 256))
     line = Window.orderBy("sha", "subject")

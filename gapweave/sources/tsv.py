@@ -52,11 +52,13 @@ def number(text: str) -> float:
     return float("nan") if text.strip().lower() in MISSING else float(text)
 
 
-def load(spark: SparkSession, root: str, atlases: list[str], minimum_coverage: float | None = None) -> DataFrame:
+def load(spark: SparkSession, root: str, atlases: list[str], minimum_coverage: float | None = None, roi_names: list[str] | None = None) -> DataFrame:
     """Panel (subject, session, acquisition_id, frame, roi_idx, roi, x) of retained frames.
 
     A table has either all frames, of which those that the mask leaves are taken, or the
-    retained ones only. Channels are in the order of atlases, then of the table.
+    retained ones only. Channels are in the order of atlases, then of the table, or those of
+    roi_names in that order. A channel taken whose coverage is below the minimum, or a name
+    that an acquisition has not exactly once, is an error.
     """
     rank = {a: k for k, a in enumerate(atlases)}
 
@@ -95,8 +97,22 @@ def load(spark: SparkSession, root: str, atlases: list[str], minimum_coverage: f
         raise ValueError("a table has neither all frames nor the retained ones")
     on = [F.col(f"s.{k}") == F.col(f"m.{k}") for k in key] + [F.col("s.row") == F.when(F.col("s.n") == F.col("m.total"), F.col("m.frame")).otherwise(F.col("m.place"))]
     panel = series.alias("s").join(kept.alias("m"), on).select("s.*", "m.frame")
+    if roi_names is not None:
+        if len(set(roi_names)) < len(roi_names):
+            raise ValueError("a channel is named twice")
+        wanted = spark.createDataFrame([(r, i) for i, r in enumerate(roi_names)], "roi string, place int")
+        once = series.select(*key, "atlas", "roi").distinct().join(wanted, "roi").groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("roi").alias("d"))
+        if series.select(*key).distinct().join(once.filter(F.lit(len(roi_names)) == F.col("n")).filter("n = d"), key, "left_anti").limit(1).count():
+            raise ValueError("an acquisition has a named channel not at all or more than once")
+        panel = panel.join(wanted, "roi")
     if minimum_coverage is not None:
         low = rows.filter("kind = 'coverage'").filter(F.col("x") < minimum_coverage).select(*key, "atlas", "roi")
-        panel = panel.join(low, [*key, "atlas", "roi"], "left_anti")
+        found = series.select(*key, "atlas", "roi").distinct() if roi_names is None else series.select(*key, "atlas", "roi").distinct().join(wanted.select("roi"), "roi")
+        worst = found.join(low, [*key, "atlas", "roi"]).orderBy(*key, "atlas", "roi").limit(1).collect()
+        if worst:
+            raise ValueError(f"coverage below {minimum_coverage}: {worst[0]['roi']} of {atlases[worst[0]['atlas']]}")
+    if roi_names is not None:
+        return panel.select("subject", "session", F.col("stem").alias("acquisition_id"), "frame", F.col("place").alias("roi_idx"), "roi", "x")
     order = F.dense_rank().over(Window.partitionBy(*key).orderBy("atlas", "col")) - 1
-    return panel.select("subject", "session", F.col("stem").alias("acquisition_id"), "frame", order.cast("int").alias("roi_idx"), "roi", "x")
+    panel = panel.withColumn("order", order)
+    return panel.select("subject", "session", F.col("stem").alias("acquisition_id"), "frame", F.col("order").cast("int").alias("roi_idx"), "roi", "x")

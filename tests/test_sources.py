@@ -16,7 +16,12 @@ def test_full_and_censored_tables(spark, tmp_path):
     (tmp_path / "sub-1_ses-1_task-rest_outliers.tsv").write_text("outlier\n0\n1\n0\n0\n1\n")
     got = [(r.frame, r.roi_idx, r.roi, r.x) for r in tsv.load(spark, str(tmp_path), ["A", "B"]).orderBy("frame", "roi_idx").collect()]
     assert got == [(f, *c) for f in (0, 2, 3) for c in ((0, "V1", float(f)), (1, "M1", 10.0 + f), (2, "T", float(f)))]
-    assert {r.roi for r in tsv.load(spark, str(tmp_path), ["A", "B"], 0.5).collect()} == {"V1", "M1"}
+    with pytest.raises(ValueError, match="T of B"):
+        tsv.load(spark, str(tmp_path), ["A", "B"], 0.5)
+    some = tsv.load(spark, str(tmp_path), ["A", "B"], 0.5, ["M1", "V1"]).orderBy("frame", "roi_idx")
+    assert [(r.frame, r.roi_idx, r.roi, r.x) for r in some.collect()] == [(f, *c) for f in (0, 2, 3) for c in ((0, "M1", 10.0 + f), (1, "V1", float(f)))]
+    with pytest.raises(ValueError):
+        tsv.load(spark, str(tmp_path), ["A", "B"], None, ["V1", "Z"])
     (tmp_path / "sub-1_ses-1_task-rest_outliers.tsv").unlink()
     with pytest.raises(ValueError):
         tsv.manifest(spark, str(tmp_path), ["A", "B"])
