@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -202,6 +202,27 @@ def _segment_rows(nodes: DataFrame, column: str, segs: Sequence[tuple[int, int]]
     return nodes.withColumn("key", F.explode(F.array(*keys)))
 
 
+def _dealt_rows(nodes: DataFrame, column: str, segs: Sequence[tuple[int, int]]) -> DataFrame:
+    """The rows of _segment_rows, and part, by which they are dealt: what a half of the segment holds, and its place.
+
+    Segments that differ by a bit in one half are equal in the other. So a node is sent twice
+    a segment, by the half that stays whole, and the variants of the other half are made where
+    it arrives; rows of one key have one part. Segments of 16 bits have 512 parts each, so a
+    fingerprint's rows make 2048 tasks at most.
+    """
+    halves = [(lo, hi, a, b) for lo, hi in segs for a, b in ((lo, (lo + hi) // 2), ((lo + hi) // 2, hi))]
+
+    def held(lo: int, hi: int, without: int) -> Column:
+        return F.shiftrightunsigned(F.col(column).bitwiseAND(F.lit(_signed(((1 << hi) - (1 << lo)) & ~without))), lo)
+
+    parts = [F.shiftleft(held(lo, hi, (1 << b) - (1 << a)), 6).bitwiseOR(F.lit(a)) for lo, hi, a, b in halves]
+    keys = [F.array(*(F.shiftleft(held(lo, hi, 1 << p), 6).bitwiseOR(F.lit(p)) for p in range(a, b))) for lo, hi, a, b in halves]
+    chosen = keys[-1]
+    for (_, _, a, _), of in zip(halves[:-1], keys):
+        chosen = F.when(F.col("part").bitwiseAND(F.lit(63)) == a, of).otherwise(chosen)
+    return nodes.withColumn("part", F.explode(F.array(*parts))).repartition("part").withColumn("key", F.explode(chosen))
+
+
 def _first_variant(column: str, segs: Sequence[tuple[int, int]], earlier: Sequence[tuple[str, int, int]]) -> str:
     """Condition that a pair (a, b) meets at one key of these segments only, and in no earlier one (column, lo, hi)."""
     x, p = f"(a.{column} ^ b.{column})", "cast(a.key & 63 as int)"
@@ -268,20 +289,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
         """(u, v, cu, cv): of each node the nearest centre of another class, in one fingerprint's segments."""
         some = [*cols[:4], cols[at]] if at >= 4 else cols[:4]  # enough to tell a near centre
         nodes = nodes.select("node", *some, "component")
-        rows = _segment_rows(nodes, cols[at], segs)
+        rows = _dealt_rows(nodes, cols[at], segs)
         turn = F.lit(_signed((at + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))  # another least node each round
-        centres = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).bitwiseXOR(turn).alias("node"), F.count("*").alias("n"))
-        centres = centres.filter("n > 1").select("key", "node").join(nodes, "node")
-        met = rows.alias("a").join(centres.alias("b"), F.expr(f"a.key = b.key and {apart(some)}")).select(*ends, F.expr(unlike(some)).alias("bits"))
+        least = F.min(F.struct(F.col("node").bitwiseXOR(turn).alias("turned"), "node", *some, "component")).alias("least")
+        centres = rows.groupBy("part", "key").agg(least, F.count("*").alias("n")).filter("n > 1").select("part", "key", "least.*")
+        on = F.expr(f"a.part = b.part and a.key = b.key and {apart(some)}")
+        met = rows.alias("a").join(centres.alias("b").hint("merge"), on).select(*ends, F.expr(unlike(some)).alias("bits"))
         return met.groupBy("u").agg(F.min(F.struct("bits", "v", "cu", "cv")).alias("x")).select("u", "x.v", "x.cu", "x.cv")
 
     def pairs(nodes: DataFrame, columns: Sequence[int], slack: float = slack) -> DataFrame:
         """(u, v, cu, cv): pairs of nodes of different classes that meet in these fingerprints, and in none before."""
         parts = []
         for at in columns:
-            rows = _segment_rows(nodes, cols[at], segs)
+            rows = _dealt_rows(nodes, cols[at], segs)
             before = [(cols[c], lo, hi) for c in range(at) for lo, hi in segs]
-            parts.append(rows.alias("a").join(rows.alias("b"), F.expr(f"a.key = b.key and a.node < b.node and {apart(cols, slack)} and {_first_variant(cols[at], segs, before)}")).select(*ends))
+            on = f"a.part = b.part and a.key = b.key and a.node < b.node and {apart(cols, slack)} and {_first_variant(cols[at], segs, before)}"
+            parts.append(rows.alias("a").join(rows.alias("b").hint("merge"), F.expr(on)).select(*ends))
         return _all(parts)
 
     def joined(nodes: DataFrame, met: DataFrame) -> DataFrame:
