@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -223,6 +224,18 @@ def _dealt_rows(nodes: DataFrame, column: str, segs: Sequence[tuple[int, int]])
     return nodes.withColumn("part", F.explode(F.array(*parts))).repartition("part").withColumn("key", F.explode(chosen))
 
 
+@contextmanager
+def _part_suffices(spark: SparkSession) -> Iterator[None]:
+    """Joins by part and key that run in here take rows as dealt by part alone, without a further exchange."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _first_variant(column: str, segs: Sequence[tuple[int, int]], earlier: Sequence[tuple[str, int, int]]) -> str:
     """Condition that a pair (a, b) meets at one key of these segments only, and in no earlier one (column, lo, hi)."""
     x, p = f"(a.{column} ^ b.{column})", "cast(a.key & 63 as int)"
@@ -321,15 +334,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
         return out
 
     for at in range(rounds):
-        near = written(stars(nodes, at), "stars")
+        with _part_suffices(spark):
+            near = written(stars(nodes, at), "stars")
         release(spark)
         nodes = joined(nodes, near)
-    near = written(pairs(nodes, [0], -1.0), "near")
+    with _part_suffices(spark):
+        near = written(pairs(nodes, [0], -1.0), "near")
     release(spark)
     nodes = joined(nodes, near)
     met = []
     for at in range(0, indexed, 2):
-        met.append(written(pairs(nodes, range(at, min(at + 2, indexed))), "met"))
+        with _part_suffices(spark):
+            met.append(written(pairs(nodes, range(at, min(at + 2, indexed))), "met"))
         release(spark)
     nodes = joined(nodes, _all(met))
     named = prints.join(nodes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
