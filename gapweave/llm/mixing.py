@@ -17,7 +17,7 @@ from .scratch import written
 
 #: words that the dynamic programme spends, beside the longest text's
 STRETCH = 1 << 16
-#: documents of one source and length from which they are ranked in 256 salted parts
+#: documents of one source and length beyond which they are ranked in parts of about half as many or fewer
 HOT = 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -112,8 +112,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     named = plan.withColumnsRenamed({"source": "of_source", "size": "of_size"})
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))).drop("of_source", "of_size")
     h = F.xxhash64(*hashed, F.lit(seed))
-    salt = F.when(F.col("n") > HOT, F.shiftrightunsigned(h, 56)).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumns({"h": h, "salt": salt})
+    # the salt is a prefix of the hash, so one order of the hash holds with any number of parts
+    shift = F.when(F.col("n") > HOT, 63 - F.ceil(F.log2(F.col("n") / HOT))).cast("int")
+    rows = rows.withColumns({"h": h, "shift": shift})
+    rows = rows.withColumn("salt", F.coalesce(F.expr("shiftright(h, shift)"), F.lit(0).cast("long"))).drop("shift")
     group = ["source", "size", "salt"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("h", *keys))
     # only hot lengths have more than one part; the rows in the parts before are counted for those
