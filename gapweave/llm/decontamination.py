@@ -79,7 +79,7 @@ class Shingles:
 class ItemIndex:
     """MinHash values of benchmark items by size class."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int, containment: float, miss: float = 1e-6, most_functions: int = 512):
+    def __init__(self, items: list[tuple[int, bytes]], n: int, containment: float, miss: float = 1e-6):
         self.n, self.containment = n, containment
         self.ids, self.sets, self.classes = [], [], {}
         found = Shingles([t for _, t in items], n)
@@ -98,7 +98,7 @@ class ItemIndex:
         for c, rows in members.items():
             q, window = min(len(set(h.tolist())) for _, h in rows), 2 * BLOCK << c
             j = containment * q / (window + q - containment * q)
-            self.classes[c] = (min(most_functions, math.ceil(math.log(miss) / math.log(1 - j))) if j < 1 else 1, rows)
+            self.classes[c] = (math.ceil(math.log(miss) / math.log1p(-j)) if j < 1 else 1, rows)
             self.functions = max(self.functions, self.classes[c][0])
         self.factors = mixed(np.arange(1, self.functions + 1, dtype=np.uint64)) | np.uint64(1)
         self.tables = {}
