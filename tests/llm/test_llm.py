@@ -252,6 +252,24 @@ def test_reshard(spark, tmp_path):
     assert spark.read.parquet(path).count() == len(rows)
 
 
+def test_reshard_with_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 4)
+    df = spark.range(2000).selectExpr("id as doc_id", "1 + pmod(hash(id), 50) as size", "cast(if(id % 3 = 0, 0, id % 7) as int) as old_shard")
+    got = sharding.reshard(df, 5, ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000))
+    loads = [sum(r["size"] for r in got if r.shard == j) for j in range(5)]
+    assert max(loads) - min(loads) <= 100
+    for j in range(5):
+        assert sorted(r.slot for r in got if r.shard == j) == list(range(sum(r.shard == j for r in got)))
+
+
+def test_low_containment_has_the_functions_its_miss_rate_asks():
+    index = decontamination.ItemIndex([(1, b"one two three four five six")], 5, 0.05)
+    functions = index.classes[0][0]
+    j = 0.05 * 2 / (2 * decontamination.BLOCK + 2 - 0.05 * 2)
+    assert functions > 512 and (1 - j) ** functions <= 1e-6
+
+
 def test_reshard_moves_the_fewest_bytes(spark):
     apart = [(i, 100, 0) for i in range(20)] + [(100 + i, 1, 1) for i in range(2000)]  # large ones in one shard, small in the other
     got = sharding.reshard(spark.createDataFrame(apart, "doc_id long, size long, old_shard int"), 2, ["doc_id"])
@@ -348,6 +366,8 @@ def test_mixing_hot_lengths_are_ranked_in_parts(spark, monkeypatch):
     got = mixing.mixed_documents(df).toPandas()
     for _, g in got.groupby("source"):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 5
+    monkeypatch.setattr(mixing, "HOT", 50_000)
+    assert sorted(mixing.mixed_documents(df).collect()) == sorted(got.itertuples(index=False, name=None))
 
 
 def test_toxicity_learns_words(spark):
