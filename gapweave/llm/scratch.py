@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: rows of a file, and of the task that writes it, where the number of rows is known beforehand
+ROWS_A_FILE = 25_000
+
 _OWN: dict[str, str] = {}
 #: paths of the tables that written() has made
 MADE: list[str] = []
@@ -50,9 +53,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+def files_of(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again.
+
+    rows: about what the last stage of df reads, if that is known; the table then has no more
+    than files_of(rows) files, so small ones cost few, and a task still a bounded number of rows.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(files_of(rows))
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import drop, release, tune, written
+from .scratch import drop, files_of, release, tune, written
 from .textcore import blobs
 
 BITS = 64
@@ -277,13 +277,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
     cols = [f"fp{i}" for i in range(len(seeds))]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     made = written(set_prints(docs, words, seeds, similarity).withColumn("node", F.xxhash64(*cols)), "made")
-    prints = written(made.groupBy("doc_id", "th").agg(F.min("node").alias("node"), F.count("*").alias("rows")), "prints")
+    prints = written(made.groupBy("doc_id", "th").agg(F.min("node").alias("node"), F.count("*").alias("rows")), "prints", count := made.count())
     # rows of a node have equal fingerprints; their samples are equal but for sets that 1024 bits do not part
     whole = made.select("node", *cols, "sample", "mask", "need").dropDuplicates(["node"])
-    whole = written(whole, "whole")
+    whole = written(whole, "whole", count)
     drop(made)
-    nodes = written(_with_shared(whole).select("node", *cols, F.col("node").alias("component")), "nodes")
+    nodes = written(_with_shared(whole).select("node", *cols, F.col("node").alias("component")), "nodes", count)
     drop(whole)
+    n_nodes = nodes.count()
     release(spark)
 
     def unlike(columns: Sequence[str]) -> str:
@@ -322,34 +323,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, se
 
     def joined(nodes: DataFrame, met: DataFrame) -> DataFrame:
         """nodes with the classes joined of those pairs whose shingle sets are alike."""
-        alike = _alike(docs, prints, met, words, similarity, seeds[0])
-        found = written(alike.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike")
+        alike = _alike(docs, prints, met, words, similarity, seeds[0], count)
+        found = written(alike.select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "alike", 2 * n_nodes)
         release(spark)
-        if not found.limit(1).count():
+        n_found = found.count()
+        if not n_found:
             return nodes
-        parts = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        out = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes")
+        parts = connected_components(found, rows=n_found).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        out = written(nodes.join(parts, "component", "left").withColumn("component", F.coalesce("into", "component")).drop("into"), "nodes", n_nodes)
         drop(nodes)
         release(spark)
         return out
 
     for at in range(rounds):
         with _part_suffices(spark):
-            near = written(stars(nodes, at), "stars")
+            near = written(stars(nodes, at), "stars", 8 * n_nodes)  # a node comes in 8 parts
         release(spark)
         nodes = joined(nodes, near)
     with _part_suffices(spark):
-        near = written(pairs(nodes, [0], -1.0), "near")
+        near = written(pairs(nodes, [0], -1.0).repartition(files_of(n_nodes)), "near")
     release(spark)
     nodes = joined(nodes, near)
     met = []
     for at in range(0, indexed, 2):
         with _part_suffices(spark):
-            met.append(written(pairs(nodes, range(at, min(at + 2, indexed))), "met"))
+            met.append(written(pairs(nodes, range(at, min(at + 2, indexed))).repartition(files_of(n_nodes)), "met"))
         release(spark)
     nodes = joined(nodes, _all(met))
     named = prints.join(nodes.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named.select("doc_id", "th", "rows", "component"), "classes")
+    named = written(named.select("doc_id", "th", "rows", "component"), "classes", count)
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     return named.join(least, "component").select("doc_id", "th", "rows", "component", F.col("least").eqNullSafe(F.struct("doc_id", "th")).alias("keeper"))
 
@@ -369,10 +371,10 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int, most_ids: int = 1_000_000, most_shingles: int = 8_000_000) -> DataFrame:
+def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, similarity: float, seed: int, count: int, most_ids: int = 1_000_000, most_shingles: int = 8_000_000) -> DataFrame:
     """Those pairs (u, v, ...) whose shingle sets have the similarity or more; one text is read for each node.
 
-    most_ids: nodes up to which their documents' ids are broadcast, so that texts are not
+    count: rows of docs. most_ids: nodes up to which their documents' ids are broadcast, so that texts are not
     shuffled. most_shingles: shingles of all these nodes up to which the sets are broadcast
     (8 bytes each); more are joined by their nodes, with the same result.
     """
@@ -384,10 +386,11 @@ def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, words: int, sim
 
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     one = prints.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("node", F.col("one.doc_id").alias("i"), F.col("one.th").alias("t"))
-    one = written(one, "ones")
-    one = F.broadcast(one) if one.count() <= most_ids else one
+    one = written(one, "ones", count)
+    n_ones = one.count()
+    one = F.broadcast(one) if n_ones <= most_ids else one
     texts = docs.join(one, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
-    sets = written(texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = written(texts.mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"]), "sets", 8 * n_ones)  # rows as wide as eight
     few = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= most_shingles
     both = pairs
     for end, own in (("u", "x"), ("v", "y")):
