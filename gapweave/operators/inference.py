@@ -49,8 +49,11 @@ def result_families(records: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def intercept_t(diffs: DataFrame, key: str = "endpoint") -> DataFrame:
-    n = F.count("*")
-    return diffs.groupBy(key).agg(n.alias("n"), F.avg("diff").alias("mean"), (F.avg("diff") / (F.stddev_samp("diff") / F.sqrt(n))).alias("t"))
+    """(key, n, mean, t): t is null for one difference; of equal ones it is infinite with the mean's sign, and NaN if all are 0."""
+    n, mean = F.count("*"), F.avg("diff")
+    se = F.stddev_samp("diff") / F.sqrt(n)
+    t = F.when(se == 0, mean * F.lit(float("inf"))).otherwise(mean / se)
+    return diffs.groupBy(key).agg(n.alias("n"), mean.alias("mean"), t.alias("t"))
 
 
 def hc3_simple(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
