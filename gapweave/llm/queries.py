@@ -33,12 +33,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve shards laid out by source become sixteen of nearly equal bytes."""
-    docs = _table(spark, sf_dir, "documents")
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), sharding.layout_by("source", 12).alias("old_shard"))
-    done = sharding.reshard(rows, 16, ["doc_id", "text_crc32"])
-    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """Twelve shards laid out by source become sixteen of nearly equal bytes; rows as read from the files."""
+    docs, folder = _table(spark, sf_dir, "documents"), new_path(spark, "shards")
+    data, old = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), sharding.layout_by("source", 12)
+    size, crc = (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32")
+    sharding.lay_out(docs, folder, old)
+    sharding.reshard_files(spark, folder, docs.schema, 16, size, [F.col("doc_id"), crc])
+    done = sharding.laid_out(spark, folder, docs.schema)
+    return done.select("doc_id", size, crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old.alias("old_shard"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

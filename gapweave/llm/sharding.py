@@ -15,14 +15,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .scratch import written
+from .scratch import files_of, remove, written
 
 #: a block's running sum is one window; offsets of blocks are windows over one row a block
 ROWS_A_BLOCK = 20_000
+GROUP = ["old_shard", "tier", "block"]
+#: bytes of rows from which a shard gets one more file
+BYTES_A_FILE = 32 << 20
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -88,27 +93,27 @@ def moving_cost(old: Sequence[int], n_shards: int) -> list[list[int]]:
     return [[0 if i == j else 1 for j in range(n_shards)] for i in old]
 
 
-def reshard(rows: DataFrame, n_shards: int, order: Sequence[str], capacities: Sequence[int] | None = None) -> DataFrame:
-    """rows with shard (int) and slot (long, gapless from 0 in each shard).
-
-    rows has size (long, at least 1) and old_shard (int); order names columns that put
-    rows in a definite order (rows equal in all of them may change places). capacities
-    are bytes of each new shard, equal shares unless given; they are scaled to the rows'
-    total. Old shard i is kept as new shard i as far as it fits. Rows are never lost: an
-    empty table gives an empty one, and nulls in order are values like any other.
-    """
-    spark = rows.sparkSession
+def _dealing(rows: DataFrame, order: Sequence[str]) -> tuple[dict[str, Column], int]:
+    """Columns tier and block of rows, and the number of blocks."""
     count, median = rows.agg(F.count("*"), F.percentile_approx("size", 0.5)).first()
     blocks = max(16, -(-count // ROWS_A_BLOCK))
     tier = (F.col("size") <= F.lit(median or 0)).cast("int")
-    rows = written(rows.withColumns({"tier": tier, "block": F.pmod(F.xxhash64(*order, F.lit(11)), F.lit(blocks)).cast("long")}), "rows")
-    group = ["old_shard", "tier", "block"]
-    line = Window.partitionBy(*group).orderBy(*order, "size")
+    return {"tier": tier, "block": F.pmod(F.xxhash64(*order, F.lit(11)), F.lit(blocks)).cast("long")}, blocks
+
+
+def _placed(rows: DataFrame, n_shards: int, order: Sequence[str], capacities: Sequence[int] | None, dealt: dict[str, Column], blocks: int) -> tuple[DataFrame | None, int]:
+    """rows with tier, block, rn (place in the block's order) and shard, null for an empty table; and the number of blocks of all old shards and tiers.
+
+    The rows of a block that go to one shard follow one another in the block's order.
+    """
+    spark = rows.sparkSession
+    rows = written(rows.withColumns(dealt), "rows")
+    line = Window.partitionBy(*GROUP).orderBy(*order, "size")
     earlier = Window.partitionBy("old_shard", "tier").orderBy("block")
     # the driver holds one row for each old shard and tier
     tiers = {(r[0], r[1]): r[2] for r in rows.groupBy("old_shard", "tier").agg(F.sum("size")).collect()}
     lines = blocks * len(tiers)
-    sums = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).withColumn("off", F.sum("bytes").over(earlier) - F.col("bytes"))
+    sums = rows.groupBy(*GROUP).agg(F.sum("size").alias("bytes")).withColumn("off", F.sum("bytes").over(earlier) - F.col("bytes"))
     sums = written(sums.drop("bytes"), "blocks", lines)
     total = sum(tiers.values())
     weight = list(capacities or shares(max(total, n_shards), n_shards))
@@ -140,18 +145,31 @@ def reshard(rows: DataFrame, n_shards: int, order: Sequence[str], capacities: Se
                 at += f[j]
             cuts.append((i, bound, to))
         cut = spark.createDataFrame(cuts, "old_shard int, bounds array<long>, targets array<int>")
-        one = numbered.filter(F.col("tier") == t).join(sums, group).join(cut, "old_shard")
+        one = numbered.filter(F.col("tier") == t).join(sums, GROUP).join(cut, "old_shard")
         one = one.withColumn("shard", F.expr("element_at(targets, size(filter(bounds, b -> 2 * b <= 2 * (off + before) + size)))"))
         one = written(one.drop("off", "bounds", "targets", "before"), "placed")
         for j, x in one.groupBy("shard").agg(F.sum("size")).collect():
             load[j] += x
         placed = one if placed is None else placed.unionByName(one)
+    return placed, lines
+
+
+def reshard(rows: DataFrame, n_shards: int, order: Sequence[str], capacities: Sequence[int] | None = None) -> DataFrame:
+    """rows with shard (int) and slot (long, gapless from 0 in each shard).
+
+    rows has size (long, at least 1) and old_shard (int); order names columns that put
+    rows in a definite order (rows equal in all of them may change places). capacities
+    are bytes of each new shard, equal shares unless given; they are scaled to the rows'
+    total. Old shard i is kept as new shard i as far as it fits. Rows are never lost: an
+    empty table gives an empty one, and nulls in order are values like any other.
+    """
+    placed, lines = _placed(rows, n_shards, order, capacities, *_dealing(rows, order))
     if placed is None:
-        return rows.drop("tier", "block").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).filter("false")
-    first = placed.groupBy("shard", *group).agg(F.count("*").alias("n"), F.min("rn").alias("lowest"))
-    begin = F.sum("n").over(Window.partitionBy("shard").orderBy(*group)) - F.col("n")
-    slots = written(first.select("shard", *group, (begin - F.col("lowest")).alias("shift")), "slots", 2 * lines)
-    done = placed.join(slots, ["shard", *group]).withColumn("slot", (F.col("shift") + F.col("rn")).cast("long"))
+        return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).filter("false")
+    first = placed.groupBy("shard", *GROUP).agg(F.count("*").alias("n"), F.min("rn").alias("lowest"))
+    begin = F.sum("n").over(Window.partitionBy("shard").orderBy(*GROUP)) - F.col("n")
+    slots = written(first.select("shard", *GROUP, (begin - F.col("lowest")).alias("shift")), "slots", 2 * lines)
+    done = placed.join(slots, ["shard", *GROUP]).withColumn("slot", (F.col("shift") + F.col("rn")).cast("long"))
     return done.drop("tier", "block", "rn", "shift")
 
 
@@ -172,6 +190,62 @@ def rewrite_affected(docs: DataFrame, path: str, shards: Sequence[int]) -> None:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
+def lay_out(docs: DataFrame, path: str, shard: Column) -> None:
+    """Write docs in folders shard=N, with row_id, a long of its own for each row; nothing is shuffled."""
+    rows = docs.select("*", F.monotonically_increasing_id().alias("row_id"), shard.alias("shard"))
+    rows.coalesce(files_of(docs.count())).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def laid_out(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a layout of docs of this schema, with shard (int) and slot (long, gapless from 0 in each shard): a row's place in its shard's files."""
+    name, number = F.col("_metadata.file_name"), F.regexp_extract("_name", r"part-(\d+)", 1).cast("long")
+    rows = _files(spark, path, schema).select("*", name.alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    begin = F.sum("count").over(Window.partitionBy("shard").orderBy(number, "_name")) - F.col("count")
+    files = rows.groupBy("shard", "_name").count().select("shard", "_name", begin.alias("_begin"))
+    return rows.join(F.broadcast(files), ["shard", "_name"]).select(*schema.names, "shard", (F.col("_begin") + F.col("_row")).alias("slot"))
+
+
+def _files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    fields = StructType([*schema.fields, StructField("row_id", LongType()), StructField("shard", IntegerType())])
+    return spark.read.schema(fields).parquet(path)
+
+
+def reshard_files(spark: SparkSession, path: str, schema: StructType, n_shards: int, size: Column, order: Sequence[Column], capacities: Sequence[int] | None = None) -> list[int]:
+    """Bring the layout of docs of this schema to n_shards shards as reshard says: files of affected shards are written anew, the others' stay; the affected ones.
+
+    size and order are made from the columns of docs, row_id comes last in the order; the plan
+    is made on these alone. As the rows of a block that go to one shard follow one another, it is a
+    row for each block and shard with the least key there, and tells each row its shard and file
+    as it is read: texts are shuffled once, to the file that they belong to, and stand there by slot.
+    """
+    keys = {"size": size.cast("long")} | {f"order_{k}": c for k, c in enumerate(order)}
+    docs = _files(spark, path, schema).withColumnRenamed("shard", "old_shard")
+    docs = docs.select(F.struct(*schema.names).alias("row"), "old_shard", "row_id", *(c.alias(n) for n, c in keys.items()))
+    line = [*list(keys)[1:], "row_id"]
+    sizes = written(docs.drop("row"), "sizes")
+    dealt, blocks = _dealing(sizes, line[:-1])
+    placed, lines = _placed(sizes, n_shards, line, capacities, dealt, blocks)
+    touched = [] if placed is None else affected(placed)
+    if not touched:
+        return []
+    runs = placed.groupBy("shard", *GROUP).agg(F.min(F.struct(*line)).alias("least"), F.sum("size").alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("shard").orderBy(*GROUP)) - F.col("bytes")
+    runs = written(runs.withColumn("part", F.floor(before / BYTES_A_FILE).cast("int")), "runs", 2 * lines)
+    # the driver holds one row for each new shard
+    parts = {r[0]: r[1] for r in runs.filter(F.col("shard").isin(touched)).groupBy("shard").agg(F.max("part") + 1).collect()}
+    first = dict(zip(sorted(parts), accumulate((parts[j] for j in sorted(parts)), initial=0)))
+    file = F.array(*(F.lit(first.get(j)).cast("int") for j in range(n_shards)))[F.col("shard")] + F.col("part")
+    runs = runs.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("least", "shard", file.alias("file")))).alias("runs"))
+    rows = docs.withColumns(dealt).withColumn("key", F.struct(*line)).join(F.broadcast(runs), GROUP)
+    rows = rows.withColumn("run", F.expr("element_at(filter(runs, r -> r.least <= key), -1)")).filter("run.file is not null")
+    rows = rows.select("row", "row_id", "run.shard", "run.file", F.struct(*GROUP, "key").alias("key"))
+    rows = rows.repartitionById(sum(parts.values()), "file").sortWithinPartitions("shard", "key").select("row.*", "row_id", "shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    for j in set(touched) - set(parts):  # a shard that has lost all rows
+        remove(spark, f"{path}/shard={j}")
+    return touched
+
+
 def layout_by(column: Column | str, n_old: int) -> Column:
     """Old shard of a corpus that was laid out by a column's hash: a hot value makes one shard large."""
     return F.pmod(F.xxhash64(column), F.lit(n_old)).cast("int")

@@ -263,6 +263,62 @@ def test_reshard_with_many_blocks(spark, monkeypatch):
         assert sorted(r.slot for r in got if r.shard == j) == list(range(sum(r.shard == j for r in got)))
 
 
+def test_reshard_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BLOCK", 40)
+    monkeypatch.setattr(sharding, "BYTES_A_FILE", 2000)
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows = [(None if i % 60 == 7 else i % 900, "x" * rng.choice([0, 3, 20, 200]) if i % 40 else None, 0 if rng.random() < 0.5 else i % 5) for i in range(1500)]
+    rows += [(1, "same", 9)] * 12  # equal rows, in a shard that goes
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of int").repartition(3)
+    size, path = F.octet_length(F.coalesce("text", F.lit(""))) + 1, f"file://{tmp_path}/shards"
+    sharding.lay_out(docs, path, F.col("of"))
+    plan = sharding.reshard(docs.select("doc_id", "text", size.cast("long").alias("size"), F.col("of").alias("old_shard")), 7, ["doc_id", "text"])
+    assert sharding.reshard_files(spark, path, docs.schema, 7, size, [F.col("doc_id"), F.col("text")]) == sharding.affected(plan)
+    got = sharding.laid_out(spark, path, docs.schema)
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "text", "of").collect()))) == sorted(map(repr, rows))
+    want = plan.select("doc_id", "text", "old_shard", "shard", "slot").collect()
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "text", "of", "shard", "slot").collect()))) == sorted(map(repr, map(tuple, want)))
+    assert sorted(x.name for x in (tmp_path / "shards").glob("shard=*")) == [f"shard={j}" for j in range(7)]
+    assert len(list((tmp_path / "shards").glob("shard=1/*.parquet"))) > 1
+
+
+def test_reshard_files_leaves_what_is_not_affected(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "cast(if(id < 1000, 0, if(id < 1900, 1, 2)) as int) as of")
+    path = f"file://{tmp_path}/shards"
+    files = lambda j: sorted((x.name, x.stat().st_mtime_ns) for x in (tmp_path / f"shards/shard={j}").glob("*.parquet"))
+    sharding.lay_out(docs, path, F.col("of"))
+    before = {j: files(j) for j in range(3)}
+    assert sharding.reshard_files(spark, path, docs.schema, 3, F.lit(1), [F.col("doc_id")], [1000, 500, 500]) == [1, 2]
+    assert files(0) == before[0] and files(1) != before[1]
+    got = sharding.laid_out(spark, path, docs.schema).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2000)) and {r.doc_id for r in got if r.shard == 0} == set(range(1000))
+    for j, n in enumerate((1000, 500, 500)):
+        assert sorted(r.slot for r in got if r.shard == j) == list(range(n))
+    none = f"file://{tmp_path}/none"
+    sharding.lay_out(docs.limit(0), none, F.col("of"))
+    assert sharding.reshard_files(spark, none, docs.schema, 3, F.lit(1), [F.col("doc_id")]) == [] and sharding.laid_out(spark, none, docs.schema).count() == 0
+
+
+def test_op4_returns_what_its_files_hold(spark, tmp_path, monkeypatch):
+    import zlib
+
+    from gapweave.llm import queries
+
+    made = []
+    monkeypatch.setattr(queries, "new_path", lambda *_: made.append(f"file://{tmp_path}/op4") or made[0])
+    got = queries.op4_sharding(spark, "/root/testdata/sf0.001").collect()
+    files = spark.read.parquet(made[0]).select("doc_id", "text", "shard").collect()
+    own = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.shard) for r in got) == sorted((r.doc_id, *own(r.text), r.shard) for r in files)
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and {r.shard for r in got} == set(range(16))
+    for j in range(16):
+        assert sorted(r.slot for r in got if r.shard == j) == list(range(sum(r.shard == j for r in got)))
+
+
 def test_low_containment_has_the_functions_its_miss_rate_asks():
     index = decontamination.ItemIndex([(1, b"one two three four five six")], 5, 0.05)
     functions = index.classes[0][0]
