@@ -58,12 +58,17 @@ def inverse_powers(n: int) -> np.ndarray:
     return powers(_BASE_INV, n)
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of some bytes."""
-    solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = ~WHITE[data]
-    edge = np.flatnonzero(np.diff(solid))
-    return edge[0::2], edge[1::2]
+def word_bounds(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of some bytes that hold texts in a row; no word spans two texts.
+
+    begins: the first byte of each text, then the number of bytes.
+    """
+    white = np.ones(len(data) + 2, bool)
+    white[1:-1] = WHITE[data]
+    other = np.zeros(len(data) + 1, bool)
+    other[begins] = True
+    solid = ~white
+    return np.flatnonzero(solid[1:] & (white[:-1] | other)), np.flatnonzero(solid[:-1] & (white[1:] | other))
 
 
 def chained(word: np.ndarray, n: int) -> np.ndarray:

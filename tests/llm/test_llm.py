@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -189,6 +190,45 @@ def test_without_repeats(spark, odd, how):
     assert sorted(map(repr, removed(docs, 60, 12, **how))) == sorted(map(repr, want))
 
 
+def passage_words_by_brute_force(texts, n):
+    rows = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    held = {}
+    for i, w in enumerate(rows):
+        for j in range(len(w) - n + 1):
+            held.setdefault(tuple(w[j : j + n]), set()).add(i)
+    return [len({x for j in range(len(w) - n + 1) if len(held[tuple(w[j : j + n])]) > 1 for x in range(j, j + n)}) for w in rows]
+
+
+@pytest.mark.parametrize("how", [{}, {"full": 150, "most_ids": 1}])
+def test_passage_words_equal_brute_force(spark, odd, how):
+    rng = random.Random(17)
+    line, ends = words(rng, 7), [words(rng, 9) for _ in range(4)]
+    texts = []
+    for _ in range(60):  # a shared line that some contexts make a passage, on either side, with white space of its own
+        t = rng.choice(ends).split()[rng.randint(0, 9) :] + line.split() + rng.choice(ends).split()[: rng.randint(0, 9)] + words(rng, 5).split()
+        texts.append(rng.choice([" ", "\n", " \t "]).join(t))
+    own = words(rng, 12)
+    texts += [own + " " + own, "a b " * 40, "a b " * 8 + words(rng, 30)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = docs.collect()
+    want = [(r.doc_id, n) for r, n in zip(rows, passage_words_by_brute_force([r.text for r in rows], 10))]
+    assert sum(n > 0 for _, n in want[-63:]) > 20 and want[-3][1] == 0 < want[-1][1]
+    got = [tuple(r) for r in suffix_dedup.without_repeats(docs, 60, 12, passage=10, passage_k=3, **how).select("doc_id", "n_passage_words").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_op3_finds_passages_of_over_50_words_that_have_fewer_than_400_bytes(spark, tmp_path):
+    from gapweave.llm import queries
+
+    rng = random.Random(23)
+    passage = " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(55))
+    texts = [words(rng, 90) + " " + passage + " " + words(rng, 40), passage.replace(" ", "\n") + "\n" + words(rng, 70), words(rng, 200)]
+    texts.append(" ".join([words(rng, 60)] * 2))  # what repeats inside one document only is no passage of two
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_passage_words) for r in queries.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage) < 400 and [got[i] for i in range(3)] == [(0, 55), (0, 55), (0, 0)] and got[3][1] == 0
+
+
 def test_a_collection_larger_than_a_transform(spark):
     rng = np.random.default_rng(3)
     letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
